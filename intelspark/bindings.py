@@ -191,14 +191,17 @@ class Views:
 
     def holdings(self) -> DataFrame:
         """Line items per part as one connect-holdings row per security."""
+        # Exact decimal sums, so the totals do not depend on the order of addition.
+        exact = lambda c: F.col(c).cast("decimal(18,2)")
+        total = lambda x: F.sum(x).cast("double")
+        price, n = exact("l_extendedprice"), F.count(F.lit(1))
         lines = self.raw("lineitem").groupBy("l_partkey").agg(
             F.sum("l_quantity").alias("shares"),
-            F.round(F.sum("l_extendedprice"), 2).alias("holding_value"),
-            F.round(F.avg("l_discount") * 100, 4).alias("holding_float_ratio_pct"),
-            F.round((F.avg("l_tax") - 0.04) * 100, 4).alias("increase_float_ratio_pct"),
-            F.round(F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice") / 2)), 2).alias(
-                "increase_value"),
-            F.round((F.avg("l_quantity") - 25.5), 4).alias("price_change_pct"),
+            total(price).alias("holding_value"),
+            (total(exact("l_discount")) / n * 100).alias("holding_float_ratio_pct"),
+            ((total(exact("l_tax")) / n - F.lit(0.04)) * 100).alias("increase_float_ratio_pct"),
+            (total(F.when(F.col("l_returnflag") == "R", price * -2).otherwise(price)) / 2).alias("increase_value"),
+            (F.sum("l_quantity") / n - F.lit(25.5)).alias("price_change_pct"),
         )
         return self.raw("part").join(lines, F.col("p_partkey") == F.col("l_partkey"), "left").select(
             F.col("p_partkey").cast("string").alias("company_id"),
@@ -280,11 +283,11 @@ SQL = {
         SELECT CAST(p_partkey AS VARCHAR) AS company_id, p_name AS company_name, p_type AS sector, 'southbound' AS market, p_size AS rank,
                shares, holding_value, holding_float_ratio_pct, increase_float_ratio_pct, increase_value, price_change_pct
         FROM part LEFT JOIN (
-          SELECT l_partkey, sum(l_quantity) AS shares, round(sum(l_extendedprice), 2) AS holding_value,
-                 round(avg(l_discount) * 100, 4) AS holding_float_ratio_pct,
-                 round((avg(l_tax) - 0.04) * 100, 4) AS increase_float_ratio_pct,
-                 round(sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice / 2 END), 2) AS increase_value,
-                 round(avg(l_quantity) - 25.5, 4) AS price_change_pct
+          SELECT l_partkey, sum(l_quantity) AS shares, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS holding_value,
+                 CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 100 AS holding_float_ratio_pct,
+                 (CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) / count(*) - CAST(0.04 AS DOUBLE)) * 100 AS increase_float_ratio_pct,
+                 CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CASE WHEN l_returnflag = 'R' THEN -2 ELSE 1 END) AS DOUBLE) / 2 AS increase_value,
+                 sum(l_quantity) / count(*) - CAST(25.5 AS DOUBLE) AS price_change_pct
           FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey)""",
 }
 

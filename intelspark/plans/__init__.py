@@ -6,7 +6,7 @@ from importlib import import_module
 
 from intelspark.plans.registry import ORACLES, QUERIES
 
-AREAS = ("serving", "scorecard")
+AREAS = ("serving", "scorecard", "scalars")
 
 
 def load() -> None:
