@@ -67,8 +67,8 @@ def alias_key(value: Column | str, fold: bool = True) -> Column:
     """The form aliases are compared in: NFKC, lower case, single blanks."""
     text = strip(value)
     if fold:
-        # Only text with a non-ASCII character can change, so plain text skips the Arrow hop.
-        text = nfkc(text)
+        # Only text with a non-ASCII character can change; the rest crosses to Python as null.
+        text = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
     return F.trim(F.regexp_replace(F.lower(text), r"[\s\p{Z}]+", " "))
 
 

@@ -162,7 +162,7 @@ def s17(v):
     return v.raw("pages").select("page_id", links.public_url(raw).alias("url"), links.wikipedia_title(raw).alias("title"))
 
 
-@query("s18_article_id", r"""SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '^https?://[^/?#]*', ''), '/*([?#].*)?$', ''), '([^/]*)$', 1) AS article,
+@query("s18_article_id", r"""SELECT page_id, regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '^https?://[^/?#]*', ''), '/*([?#].*)?$', ''), '([^/]*)$', 1), '\.html$', '') AS article,
  'https://static.example/root/doc/' || page_id || '.pdf' AS pdf FROM pages""")
 def s18(v):
     pdf = links.absolute_url(F.concat(F.lit("/doc/"), F.col("page_id").cast("string"), F.lit(".pdf")), "https://static.example/root/")
@@ -376,7 +376,7 @@ def c17(v):
     h = v.holdings().filter(F.col("shares").isNotNull())
     raw = h.select(
         F.col("rank").cast("string").alias("rank"), F.concat(F.col("company_id"), F.lit(".0")).alias("code"), F.col("company_name").alias("name"), F.lit("20240305").alias("date"),
-        F.concat(F.lit("HK$"), F.col("holding_value").cast("decimal(20,2)").cast("string")).alias("holding_value"), F.concat(F.format_number("holding_float_ratio_pct", 4), F.lit("%")).alias("holding_float_ratio_pct"))
+        F.concat(F.lit("HK$"), F.col("holding_value").cast("decimal(20,2)").cast("string")).alias("holding_value"), F.concat(F.col("holding_float_ratio_pct").cast("decimal(18,4)").cast("string"), F.lit("%")).alias("holding_float_ratio_pct"))
     return holdings_rows(raw, numbers_in=["holding_value"], percents_in=["holding_float_ratio_pct"]).select("company_id", "rank", "holding_value", "holding_float_ratio_pct", "event_time")
 
 
