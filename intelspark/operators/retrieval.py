@@ -173,17 +173,14 @@ def lexical_score(lowered: Column, terms: Column) -> Column:
     return F.when(F.size(terms) > 0, hits.cast("double") / F.size(terms)).otherwise(F.lit(0.0))
 
 
-def lexical_search_many(chunks: DataFrame, questions: DataFrame, text: str, key: str, top_k: int = rules.RETRIEVAL_TOP_K) -> DataFrame:
-    """Top chunks per question for a small set of questions.
+def lexical_search_many(chunks: DataFrame, questions: list[tuple[str, str]], text: str, key: str, top_k: int = rules.RETRIEVAL_TOP_K) -> DataFrame:
+    """Top chunks of each of a few questions, in one scan.
 
-    The question set is a user's list; it is folded into one array column (its size is checked),
-    every chunk is scanned once, scores only the questions it shares a term with, and each
-    question keeps its best chunks before the shuffle.
+    A term counts when it occurs anywhere in the chunk, so every chunk is tested against every
+    question's terms; only positive scores leave the row, and each question keeps its best chunks
+    before the shuffle.
     """
-    listed = [(r["question_id"], r["question"]) for r in questions.select("question_id", "question").limit(1001).collect()]
-    if len(listed) > 1000:
-        raise ValueError("more than 1000 questions at once: run them in batches")
-    table = F.array(*[F.struct(F.lit(i).alias("question_id"), query_terms(F.lit(q)).alias("terms")) for i, q in listed])
+    table = F.array(*[F.struct(F.lit(i).alias("question_id"), query_terms(F.lit(q)).alias("terms")) for i, q in questions])
     scored = chunks.select(key, F.lower(text).alias("_low")).select(
         key, F.explode(F.filter(
             F.transform(table, lambda q: F.struct(q["question_id"].alias("question_id"), lexical_score(F.col("_low"), q["terms"]).alias("score"))),
@@ -203,7 +200,8 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_search(vectors: DataFrame, query: Column, key: str, top_k: int = rules.RETRIEVAL_TOP_K,
                   min_score: float = rules.RETRIEVAL_MIN_SCORE) -> DataFrame:
     """Nearest vectors by cosine; the score floor applies after the cut to ``top_k``."""
-    scored = vectors.withColumn("score", cosine(F.col("embedding"), query))
+    # The query is a column of its own first: it may be a one-row subquery.
+    scored = vectors.withColumn("_query", query).withColumn("score", cosine(F.col("embedding"), F.col("_query"))).drop("_query")
     top = scored.orderBy(F.desc_nulls_last("score"), F.asc(key)).limit(top_k)
     return top.filter(F.col("score") >= min_score)
 

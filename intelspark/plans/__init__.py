@@ -6,7 +6,7 @@ from importlib import import_module
 
 from intelspark.plans.registry import ORACLES, QUERIES
 
-AREAS = ("serving", "scorecard", "scalars", "resolution", "parsing")
+AREAS = ("serving", "scorecard", "scalars", "resolution", "parsing", "retrieval", "landing")
 
 
 def load() -> None:

@@ -229,14 +229,13 @@ def k15(v):
     return out.select("o_orderkey", F.array_join("t.headers", "|").alias("headers"), F.array_join(F.get("t.rows", 0), "|").alias("first_row"))
 
 
-@query("k16_xbrl_facts", """SELECT l_suppkey, string_agg('line ' || pos || ': ' || CAST(l_quantity AS VARCHAR), chr(10) ORDER BY pos) AS text FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem) WHERE pos <= 200 GROUP BY 1""")
+@query("k16_xbrl_facts", """SELECT l_suppkey, string_agg('part ' || l_partkey || ': ' || CAST(l_quantity AS VARCHAR), chr(10) ORDER BY pos) AS text FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem) WHERE pos <= 200 GROUP BY 1""")
 def k16(v):
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    facts = v.raw("lineitem").withColumn("pos", F.row_number().over(order)).select(
-        "l_suppkey", "pos", F.concat(F.lit("line "), F.col("pos").cast("string")).alias("name"), F.col("l_quantity").cast("string").alias("value"), F.col("l_returnflag").alias("context"))
-    return p.xbrl_facts(facts, "l_suppkey").select("l_suppkey", "text")
+    facts = v.raw("lineitem").select(
+        "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("name"),
+        F.col("l_quantity").cast("string").alias("value"), F.col("l_returnflag").alias("context"))
+    order = [F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")]
+    return p.xbrl_facts(facts, "l_suppkey", order).select("l_suppkey", "text")
 
 
 @query("k17_rag_text", rf"""WITH docs0 AS (SELECT doc_id, source, {clean_sql('text')} AS body FROM documents)

@@ -42,15 +42,20 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a session without one (a local test) gets its own."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(configured)
+        return configured
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
-
-    The folder named in ``spark.checkpoint.dir`` is used when the cluster sets one; only a
-    session without it (a local test) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """Materialise ``df`` in the shared checkpoint folder, so lost executors do not recompute it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

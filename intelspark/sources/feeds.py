@@ -17,6 +17,7 @@ from intelspark.functions.links import absolute_url
 from intelspark.functions.numbers import code_text, to_number, to_percent
 from intelspark.functions.text import blank_to_null, clean, contains_any, strip
 from intelspark.functions.times import matches_year_month, period_of, publication_time
+from intelspark.operators.positions import number_within
 from intelspark.operators.serving import latest_by
 
 # ------------------------------------------------------------------ JSON feeds
@@ -30,6 +31,12 @@ def paged_records(spark: SparkSession, path: str, schema: str | None = None) ->
     return reader.json(path).select(F.explode("result.records").alias("r")).select("r.*")
 
 
+def records_of(pages: DataFrame, page: str, record_ddl: str) -> DataFrame:
+    """The same rows when the pages are already a text column."""
+    parsed = F.from_json(page, f"struct<result: struct<records: array<{record_ddl}>>>")
+    return pages.select(F.explode(parsed["result"]["records"]).alias("r")).select("r.*")
+
+
 def statistics_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Rows of ``dataSet`` with the table title."""
     reader = spark.read.option("multiLine", True)
@@ -229,9 +236,7 @@ def holdings_rows(raw: DataFrame, numbers_in=NUMBER_FIELDS, percents_in=PERCENT_
 
 def conform_statistics(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Alternate holdings layout to the common one; ranks count within each day."""
-    from pyspark.sql import Window as W
-
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("date").orderBy(*order)))
+    ranked = number_within(rows, ["date"], order)
     return ranked.select(
         "rank", F.col("code").cast("string").alias("code"), "name", F.date_format("date", "yyyy-MM-dd").alias("date"),
         F.col("close").alias("close_price"), F.col("change").alias("price_change_pct"), F.col("shares").alias("holding_shares"),
