@@ -35,6 +35,17 @@ class Views:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def texts(self, name: str, key: str) -> DataFrame:
+        """A text table spread over all cores.
+
+        Parsing text costs far more than moving it, so a table stored in fewer pieces than there
+        are cores is spread by key first; a large table has more pieces than cores and is left alone.
+        """
+        df = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        files = df.inputFiles()
+        return df.repartition(cores * 2, key) if len(files) < cores else df
+
     def _company_of(self, key: str) -> Column:
         # A one-row scalar subquery: evaluated once, then a literal in the scan stage.
         n = self.raw("customer").agg(F.count(F.lit(1))).scalar()

@@ -10,25 +10,23 @@ from intelspark.functions.text import blank_to_null, col, strip
 
 
 def is_date_like(value: Column | str) -> Column:
-    text = F.coalesce(col(value), F.lit(""))
-    return text.rlike(r"^20\d{2}(\d{2}){0,2}$") | text.rlike(r"20\d{2}[年/\-.]\d{1,2}")
+    return F.coalesce(col(value), F.lit("")).rlike(r"^20\d{2}(\d{2}){0,2}$|20\d{2}[年/\-.]\d{1,2}")
 
 
 def to_number(value: Column | str) -> Column:
-    """Messy number text to double; missing marks, dates and plain words give null."""
+    """Messy number text to double; missing marks, dates and plain words give null.
+
+    Two patterns per value: one that rules dates out and one that finds the number.
+    """
     text = strip(value)
-    negative = text.rlike(r"^\(.*\)$")
-    body = F.when(negative, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text)
-    scale = (
-        F.when(body.endswith("亿"), F.lit(1e8))
-        .when(body.endswith("万"), F.lit(1e4))
-        .when(body.endswith("千"), F.lit(1e3))
-        .otherwise(F.lit(1.0))
-    )
-    digits = F.regexp_replace(body, r"HK\$|[$,，%％  ]", "")
-    number = F.regexp_extract(digits, r"[-+]?\d+(?:\.\d+)?", 0).try_cast("double") * scale
+    negative = text.startswith("(") & text.endswith(")")
+    body = F.when(negative, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    scale = F.when(body.endswith("亿"), F.lit(1e8)).when(body.endswith("万"), F.lit(1e4)).when(body.endswith("千"), F.lit(1e3)).otherwise(F.lit(1.0))
+    # Currency marks, separators, percent signs and blanks stand for nothing.
+    digits = F.translate(F.replace(text, F.lit("HK$"), F.lit("")), "$,，%％ \u00a0", "")
+    number = F.regexp_extract(digits, r"[-+]?\d+(?:\.\d+)?", 0).try_cast("double")
     missing = F.lower(text).isin(*rules.MISSING_TOKENS) | is_date_like(text)
-    return F.when(~missing, F.when(negative, -number).otherwise(number))
+    return F.when(~missing, number * scale * F.when(negative, F.lit(-1.0)).otherwise(F.lit(1.0)))
 
 
 def to_percent(value: Column | str) -> Column:

@@ -46,14 +46,14 @@ def _alt(words) -> str:
 
 
 def _docs(v):
-    return v.raw("documents")
+    return v.texts("documents", "doc_id")
 
 
 @query("k1_route", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'html' WHEN 2 THEN 'json' WHEN 3 THEN 'text' ELSE 'fallback' END AS parser FROM pages""")
 def k1(v):
     k = F.col("page_id") % 5
     content = F.when(k == 1, F.col("html")).when(k == 2, F.to_json(F.struct("url"))).when(k == 3, F.col("url")).otherwise(F.lit(""))
-    return v.raw("pages").select("page_id", p.route(F.lit(None).cast("string"), F.when(k == 0, "landing/report.pdf"), content).alias("parser"))
+    return v.texts("pages", "page_id").select("page_id", p.route(F.lit(None).cast("string"), F.when(k == 0, "landing/report.pdf"), content).alias("parser"))
 
 
 @query("k2_primary_content", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/json' ELSE 'text/plain' END AS media_type, CAST(CASE page_id % 3 WHEN 0 THEN length(regexp_replace(html, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))
@@ -61,7 +61,7 @@ def k1(v):
 def k2(v):
     k = F.col("page_id") % 3
     payload = F.when(k == 0, F.to_json(F.struct("url", "html"))).when(k == 1, F.to_json(F.struct("url")))
-    return v.raw("pages").select("page_id", p.primary_content(payload, F.lit(" "), F.col("url")).alias("c")).select(
+    return v.texts("pages", "page_id").select("page_id", p.primary_content(payload, F.lit(" "), F.col("url")).alias("c")).select(
         "page_id", "c.media_type", F.length("c.content").cast("bigint").alias("size"))
 
 
@@ -173,13 +173,13 @@ INNER = r"regexp_replace({}, '(?s)<[^>]*>', ' ', 'g')"
 @query("k11_html_titles", rf"""SELECT page_id, {clean_sql(INNER.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} AS title,
  CAST(len(regexp_extract_all({_drop_sql()}, '(?i)<h1[ >]')) AS INT) > 0 AS has_heading FROM pages""")
 def k11(v):
-    out = p.with_html(v.raw("pages"), "html")
+    out = p.with_html(v.texts("pages", "page_id"), "html")
     return out.select("page_id", "title", F.exists("sections", lambda s: s["heading"] != "Body").alias("has_heading"))
 
 
 @query("k11_html_sections")
 def k11b(v):
-    out = p.with_html(v.raw("pages"), "html")
+    out = p.with_html(v.texts("pages", "page_id"), "html")
     return out.select("page_id", F.posexplode("sections").alias("pos", "s")).select("page_id", "pos", "s.heading", F.length("s.text").alias("size"))
 
 
@@ -339,7 +339,7 @@ def a5(v):
     from intelspark.sources.feeds import listing_rows
 
     row = F.concat(F.lit("<table><tbody><tr><td>2024-01-05</td><td>"), F.col("page_id").cast("string"), F.lit("</td><td>Co</td><td><a href='/doc/"), F.col("page_id").cast("string"), F.lit(".pdf'>Annual report</a></td></tr></tbody></table>"))
-    return listing_rows(v.raw("pages").withColumn("html", F.concat(F.col("html"), row)), "html", ["page_id"], "https://www.example.org")
+    return listing_rows(v.texts("pages", "page_id").withColumn("html", F.concat(F.col("html"), row)), "html", ["page_id"], "https://www.example.org")
 
 
 @query("a6_first_pdf", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://www.example.org/files/' || page_id || '.pdf' END AS pdf FROM pages")
@@ -347,14 +347,14 @@ def a6(v):
     from intelspark.sources.feeds import first_pdf
 
     link = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<p><A class="x" HREF="/files/'), F.col("page_id").cast("string"), F.lit('.pdf">file</A>'))).otherwise("")
-    return v.raw("pages").withColumn("html", F.concat("html", link)).select("page_id", first_pdf("html", "https://www.example.org").alias("pdf"))
+    return v.texts("pages", "page_id").withColumn("html", F.concat("html", link)).select("page_id", first_pdf("html", "https://www.example.org").alias("pdf"))
 
 
 @query("a14_links", """SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>.*?</a>', 1))) AS BIGINT) AS links FROM pages WHERE regexp_matches(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>.*?</a>')""")
 def a14(v):
     from intelspark.sources.feeds import links_of
 
-    return links_of(v.raw("pages"), "html", ["page_id"]).groupBy("page_id").agg(F.count_distinct("href").alias("links"))
+    return links_of(v.texts("pages", "page_id"), "html", ["page_id"]).groupBy("page_id").agg(F.count_distinct("href").alias("links"))
 
 
 @query("a18_csv_texts", """SELECT p_partkey, 'Name|Brand|Size' AS headers, p_name || '|' || p_brand || ', x|' || p_size AS first_row FROM part""")

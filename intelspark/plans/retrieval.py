@@ -15,18 +15,18 @@ chunks AS (SELECT doc_id, i AS chunk_index, array_to_string(t[i * 700 + 1 : i *
 
 
 def _chunks(v):
-    return r.chunk(v.raw("documents"), ["doc_id"], "text")
+    return r.chunk(v.texts("documents", "doc_id"), ["doc_id"], "text")
 
 
 @query("l1_tokens", f"WITH tok AS (SELECT doc_id, {TOKENS} AS t FROM documents) SELECT doc_id, len(t) AS tokens, array_to_string(t, ' ') AS joined FROM tok")
 def l1(v):
     t = r.tokens("text")
-    return v.raw("documents").select("doc_id", F.size(t).cast("bigint").alias("tokens"), F.array_join(t, " ").alias("joined"))
+    return v.texts("documents", "doc_id").select("doc_id", F.size(t).cast("bigint").alias("tokens"), F.array_join(t, " ").alias("joined"))
 
 
 @query("l2_token_estimate", f"SELECT doc_id, greatest(1, len({TOKENS})) AS tokens FROM documents")
 def l2(v):
-    return v.raw("documents").select("doc_id", r.token_estimate("text").cast("bigint").alias("tokens"))
+    return v.texts("documents", "doc_id").select("doc_id", r.token_estimate("text").cast("bigint").alias("tokens"))
 
 
 @query("l3_chunks", f"WITH {CHUNKS} SELECT doc_id, chunk_index, token_count, sha256(chunk_text) AS chunk_hash FROM chunks")
@@ -36,7 +36,7 @@ def l3(v):
 
 @query("l4_query_terms", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]{2,}'))), ' ') AS terms FROM documents")
 def l4(v):
-    return v.raw("documents").select("doc_id", F.array_join(F.array_sort(r.query_terms("text")), " ").alias("terms"))
+    return v.texts("documents", "doc_id").select("doc_id", F.array_join(F.array_sort(r.query_terms("text")), " ").alias("terms"))
 
 
 DOCS = """rows AS (SELECT 'intelligence_records' AS source_table, id AS source_id, source, dataset, entity, event_time, title, 'Summary: ' || summary AS l1, NULL AS l2, payload AS body FROM facts
@@ -54,7 +54,7 @@ def l5(v):
 
 @query("l6_incremental_chunks", f"WITH {CHUNKS} SELECT doc_id, chunk_index, token_count FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def l6(v):
-    missing = r.documents_without_chunks(v.raw("documents"), v.raw("labels"), "doc_id")
+    missing = r.documents_without_chunks(v.texts("documents", "doc_id"), v.raw("labels"), "doc_id")
     return r.chunk(missing, ["doc_id"], "text").select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("token_count").cast("bigint").alias("token_count"))
 
 
@@ -66,7 +66,7 @@ def l7(v):
 
 @query("l8_embed_missing", "SELECT doc_id AS chunk_id, '3' AS embedding_model, 64 AS dimensions FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3)")
 def l8(v):
-    chunks = v.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    chunks = v.texts("documents", "doc_id").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
     known = v.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("embedding_model"))
     return r.embed_missing(chunks, known, "3").select("chunk_id", "embedding_model", F.size("embedding").alias("dimensions"))
 
@@ -78,7 +78,7 @@ TERMS = "['which','public','license','version','covers','the','tion']"
 @query("l9_lexical_search", f"""WITH s AS (SELECT doc_id, len(list_filter({TERMS}, lambda t: contains(lower(text), t))) / 7.0::DOUBLE AS score FROM documents WHERE lang = 'en')
 SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id DESC LIMIT 25""")
 def l9(v):
-    return r.lexical_search(v.raw("documents"), QUESTION, "text", "doc_id", 25, {"lang": "en"}).select("doc_id", "score")
+    return r.lexical_search(v.texts("documents", "doc_id"), QUESTION, "text", "doc_id", 25, {"lang": "en"}).select("doc_id", "score")
 
 
 QUESTIONS = [("q1", QUESTION), ("q2", "avec les enfants"), ("q3", "und die heit 2024")]
@@ -88,7 +88,7 @@ _Q_SQL = "(VALUES ('q1', ['which','public','license','version','covers','the','t
 @query("l9_lexical_search_many", f"""SELECT question_id, doc_id, score FROM (SELECT question_id, doc_id, len(list_filter(terms, lambda t: contains(lower(text), t))) / len(terms)::DOUBLE AS score FROM documents, {_Q_SQL})
 WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id DESC) <= 6""")
 def l9b(v):
-    return r.lexical_search_many(v.raw("documents"), QUESTIONS, "text", "doc_id").select("question_id", "doc_id", "score")
+    return r.lexical_search_many(v.texts("documents", "doc_id"), QUESTIONS, "text", "doc_id").select("question_id", "doc_id", "score")
 
 
 SIM = """sim AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings)"""
@@ -105,7 +105,7 @@ def l10(v):
 
 @query("e9_vector_evidence", f"WITH {SIM} SELECT vec_id AS chunk_id, source, lang, score FROM (SELECT s.*, d.source, d.lang FROM sim s JOIN documents d ON d.doc_id = s.vec_id WHERE d.lang = 'en' ORDER BY score DESC, vec_id LIMIT 6) WHERE score >= 0.15")
 def e9(v):
-    docs = v.raw("documents").filter(F.col("lang") == "en").select(F.col("doc_id").alias("chunk_id"), "source", "lang")
+    docs = v.texts("documents", "doc_id").filter(F.col("lang") == "en").select(F.col("doc_id").alias("chunk_id"), "source", "lang")
     joined = v.raw("embeddings").withColumnRenamed("vec_id", "chunk_id").join(docs, "chunk_id")
     return r.vector_search(joined, _query_vector(v), "chunk_id").select("chunk_id", "source", "lang", F.round("score", 6).alias("score"))
 
@@ -146,9 +146,9 @@ ans AS (SELECT q.question_id, coalesce(n, 0) AS evidence_count, CASE WHEN n IS N
 
 def _answers(v):
     k = F.col("doc_id") % 4
-    questions = v.raw("documents").select(F.col("doc_id").alias("question_id"), F.col("lang").alias("question"))
+    questions = v.texts("documents", "doc_id").select(F.col("doc_id").alias("question_id"), F.col("lang").alias("question"))
     cites = F.when(k == 0, F.array(F.lit("0"), F.lit("zero"), F.lit("999"))).otherwise(F.array(F.lit("n/a")))
-    outputs = v.raw("documents").select(
+    outputs = v.texts("documents", "doc_id").select(
         F.col("doc_id").alias("question_id"), F.when(k == 2, "llm_error_fallback").when(k == 3, "insufficient_evidence").otherwise("ok").alias("status"),
         F.concat(F.lit("About "), "lang").alias("summary"), cites.alias("citations"))
     return r.answers(questions, _top_evidence(v), outputs)
@@ -163,7 +163,7 @@ def l13(v):
  CASE WHEN n > 0 THEN 'Retrieved ' || n || ' evidence item(s) relevant to: ' || lang ELSE 'Insufficient evidence was retrieved for this question.' END AS answer
 FROM documents q LEFT JOIN (SELECT question_id, least(count(*), 6) AS n FROM ev GROUP BY 1) e ON e.question_id = q.doc_id""")
 def l13b(v):
-    questions = v.raw("documents").select(F.col("doc_id").alias("question_id"), F.col("lang").alias("question"))
+    questions = v.texts("documents", "doc_id").select(F.col("doc_id").alias("question_id"), F.col("lang").alias("question"))
     return r.answers(questions, _top_evidence(v)).select("question_id", "answer_status", "answer")
 
 
@@ -176,7 +176,7 @@ def l14(v):
 @query("b12_supersede", """WITH e AS (SELECT doc_id AS id, CASE WHEN l.quality = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents JOIN labels l USING (doc_id)), n AS (SELECT doc_id AS id, sha256(text) AS h FROM documents)
 SELECT coalesce(e.id, n.id) AS source_id, coalesce(e.h, n.h) AS content_hash, CASE WHEN e.id IS NOT NULL AND n.id IS NOT NULL THEN 'kept' WHEN n.id IS NOT NULL THEN 'inserted' ELSE 'superseded' END AS action FROM e FULL JOIN n ON e.id = n.id AND e.h = n.h""")
 def b12(v):
-    docs = v.raw("documents").select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("source_id"), "text")
+    docs = v.texts("documents", "doc_id").select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("source_id"), "text")
     labels = v.raw("labels").select(F.col("doc_id").alias("source_id"), "quality")
     built = docs.select("source_table", "source_id", F.sha2("text", 256).alias("content_hash"))
     changed = F.when(F.col("quality") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
@@ -190,7 +190,7 @@ def m3(v):
     from intelspark.operators.evaluate import extraction_checks
 
     none = F.array().cast("array<string>")
-    docs = v.raw("documents")
+    docs = v.texts("documents", "doc_id")
     cases = docs.select(
         F.col("doc_id").alias("case_id"), F.col("text").alias("content"), F.array(F.left("text", F.lit(12))).alias("quote_substrings"), F.array(F.lit("risk_factor")).alias("expected_fact_types"),
         *[none.alias(c) for c in ("expected_metric_names", "expected_event_types", "expected_risk_categories", "expected_eligible_types", "expected_context_types")])
