@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intelspark import rules
+from intelspark.functions.rows import spread_array
 from intelspark.functions.text import alias_key, blank_to_null, strip
 from intelspark.sinks.merge import new_rows
 
@@ -139,7 +140,7 @@ def matches(texts: DataFrame, index: DataFrame, row: str = "row_id", text: str =
     grams = sorted({r["size"] for r in sizes if r["kind"] == "plain"})
     normal = texts.select(row, alias_key(text).alias("_text")).filter(F.col("_text") != "")
     # The key side carries no text, so a long document is not copied per key.
-    keys = normal.select(row, F.explode(_text_keys(F.col("_text"), words, grams)).alias("k")).select(
+    keys = spread_array(normal, [row], _text_keys(F.col("_text"), words, grams), "k").select(
         row, "k.kind", "k.key", F.pmod(F.xxhash64(row), F.lit(salts)).alias("salt"))
     spread = aliases.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
     found = keys.join(spread, ["kind", "key", "salt"]).select(row, "kind", "alias", "company_id", "alias_length")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from intelspark import rules
+from intelspark.functions.rows import spread_array
 from intelspark.functions.text import CJK_CLASS, blank_to_null, col, truncate
 from intelspark.operators.serving import top_n
 
@@ -113,7 +114,7 @@ def chunk(df: DataFrame, key: list[str], text: str, size: int = rules.CHUNK_TOKE
         "_chunks",
         F.transform(starts, lambda i: F.struct(i.alias("chunk_index"), F.slice("_tokens", i * step + 1, F.lit(size)).alias("t"))),
     )
-    out = out.select(*key, F.explode("_chunks").alias("c")).select(
+    out = spread_array(out, key, "_chunks", "c").select(
         *key, F.col("c.chunk_index").alias("chunk_index"), join_tokens(F.col("c.t")).alias("chunk_text"),
         F.size("c.t").alias("token_count"))
     return out.withColumn("chunk_hash", F.sha2("chunk_text", 256))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from intelspark.functions.rows import spread_array
 from intelspark.functions.text import clean, strip
 from intelspark.operators import parsing as p
 from intelspark.plans.registry import query
@@ -67,7 +68,7 @@ def k2(v):
 
 @query("k3_sentences", f"WITH {SENTS} SELECT doc_id, pos, s AS sentence FROM sents")
 def k3(v):
-    out = _docs(v).select("doc_id", F.posexplode(p.sentences("text")).alias("i", "sentence"))
+    out = spread_array(_docs(v), ["doc_id"], p.sentences("text"), "sentence", "i")
     return out.select("doc_id", (F.col("i") + 1).cast("bigint").alias("pos"), "sentence")
 
 

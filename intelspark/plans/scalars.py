@@ -20,7 +20,7 @@ LINES = f"lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_ext
 
 
 def _lines(v):
-    df = v.raw("lineitem").withColumn("q", F.col("l_quantity").cast("string"))
+    df = v.texts("lineitem", "l_orderkey").withColumn("q", F.col("l_quantity").cast("string"))
     return df.select(*LINE_KEY, F.expr(_MESSY_SPARK).alias("raw"))
 
 
@@ -293,7 +293,7 @@ FROM (SELECT *, unnest(['quantity', 'tax_rate', 'discount']) AS indicator, unnes
 
 
 def _wide(v):
-    line = v.raw("lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    line = v.texts("lineitem", "l_orderkey").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
     fields = F.create_map(*[x for name, column in (("quantity", "l_quantity"), ("tax_rate", "l_tax"), ("discount", "l_discount"), ("flag", "l_returnflag"), ("date", "day")) for x in (F.lit(name), F.col(column).cast("string"))])
     return line.withColumn("fields", fields)
 

@@ -54,9 +54,9 @@ def d1(v):
     return df.select("id", "company_id", "signal_type", "event_time")
 
 
-@query("d2_get_signal", with_views("signals", "SELECT id, company_id, signal_text FROM signals WHERE id = 42 OR id = 77 OR id = 99"))
+@query("d2_get_signal", with_views("signals", "SELECT id, company_id, signal_text FROM signals WHERE id BETWEEN 40 AND 69"))
 def d2(v):
-    return v.signals().filter(F.col("id").isin(42, 77, 99)).select("id", "company_id", "signal_text")
+    return v.signals().filter(F.col("id").isin(*range(40, 70))).select("id", "company_id", "signal_text")
 
 
 @query("d3_list_timeline", with_views("timeline", """

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from intelspark.functions.links import absolute_url
 from intelspark.functions.numbers import code_text, to_number, to_percent
+from intelspark.functions.rows import spread_array
 from intelspark.functions.text import blank_to_null, clean, contains_any, strip
 from intelspark.functions.times import matches_year_month, period_of, publication_time
 from intelspark.operators.positions import number_within
@@ -142,7 +143,7 @@ def inner_text(html: Column) -> Column:
 
 def listing_rows(pages: DataFrame, html: str, keep: list[str], base: str) -> DataFrame:
     """Rows of a listing table: date, code, name and link; a row needs four cells and a link."""
-    rows = pages.select(*keep, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "row"))
+    rows = spread_array(pages, keep, F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), "row", "pos")
     cells = F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))
     rows = rows.withColumn("c", cells).filter(F.size("c") >= 4)
     link = F.get("c", 3)
@@ -171,7 +172,7 @@ def first_pdf(html: Column | str, base: str) -> Column:
 def links_of(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
     """Every link of a page with its text and position."""
     found = F.regexp_extract_all(html, F.lit(r"""(?is)(<a\b[^>]*\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a>)"""), F.lit(1))
-    rows = pages.select(*keep, F.posexplode(found).alias("pos", "a"))
+    rows = spread_array(pages, keep, found, "a", "pos")
     return rows.select(*keep, "pos", F.regexp_extract("a", r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1).alias("href"), inner_text(F.col("a")).alias("text"))
 
 
