@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -118,3 +119,46 @@ def shingles(text: str, size: int) -> np.ndarray:
     for i in range(k):
         out = mix(out * U64(0x9FB21C651E98DF25) + words[i : len(words) - k + 1 + i])
     return np.unique(out)
+
+
+def slices(batch: pa.RecordBatch, name: str = "text", limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``limit`` bytes of text each, a single row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of texts cut at ASCII white space: the distinct words, a code per word, and each text's first word.
+
+    Text i has the codes from offsets[i] to offsets[i + 1]; a null text has none.
+    """
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = parts.flatten().dictionary_encode()
+    offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py() if len(parts) else np.zeros(1, np.int64)
+    codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    if "" in words:
+        real = codes != words.index("")
+        offsets = np.append(0, np.cumsum(real))[offsets]
+        codes = codes[real]
+    return words, codes, offsets
+
+
+def gather(lists: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit lists of the codes one after the other, and where each begins (one more entry for the end)."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+    first = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(lists), np.int32)
+    own = size[codes]
+    ends = np.cumsum(own)
+    begins = ends - own
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[codes] - begins, own)
+    return flat[at], np.append(begins, ends[-1] if len(ends) else 0)
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch)

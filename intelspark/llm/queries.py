@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelspark.llm import language, minhash
+from intelspark.llm import fertility, language, minhash, packing
 from intelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,15 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: three-word shingles, similarity of 0.85 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict of every document: base rules and bands of the vocabulary's measures per language."""
+    return fertility.quality(table(spark, sf_dir, "documents"))
