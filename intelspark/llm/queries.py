@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelspark.llm import fertility, language, minhash, packing
+from intelspark.llm import fertility, language, licenses, minhash, packing, secrets
 from intelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document: base rules and bands of the vocabulary's measures per language."""
     return fertility.quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the fixed patterns' spans and those that the Markov models add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.fit(docs)).drop("text")
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
