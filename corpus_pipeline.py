@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelspark.llm import language, minhash
-from intelspark.llm.common import held_out
+from intelspark.llm import decontaminate, language, minhash, packing, secrets
+from intelspark.llm.common import held_out, table
 from intelspark.session import shared_folder
 
 
@@ -33,9 +33,28 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a copy of a benchmark item, also an edited one; rows of one id go together."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret in the texts; all documents stay."""
+    return secrets.redact(docs, secrets.fit(docs.select("doc_id", "text")))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, packed in windows."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("language", keep_known_languages),
     ("near_duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_benchmark_copies),
+    ("secrets", redact_secrets),
+    ("packing", pack_windows),
 ]
 ORACLE_SQL = None  # the stages' models and alignments are beyond SQL; tests compare with brute force
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelspark.llm import decontaminate, fertility, language, licenses, minhash, packing, secrets, toxicity
+from intelspark.llm import decontaminate, fertility, language, licenses, minhash, packing, secrets, suffixes, toolcalls, toxicity
 from intelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, with the item and the alignment's score."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "score")
+
+
+REPLY = {"reply": [("turn", "BIGINT", True), ("text", "STRING", True)]}
+ORACLES["op6_tool_calls"] = """
+SELECT u.conv_id, u.turn * 1000000 AS position, 't' || u.turn AS call_id, 'reply' AS tool, a.turn IS NOT NULL AS linked, u.text IS NOT NULL AS valid, TRUE AS ordered,
+  '{"arguments":{' || CASE WHEN u.text IS NULL THEN '' ELSE '"text":' || to_json(u.text) || ',' END || '"turn":' || u.turn || '},"id":"t' || u.turn || '","name":"reply","result":'
+    || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS payload
+FROM conversations u LEFT JOIN (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL) a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user'
+"""
+
+
+@query
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn of the conversations as a call of ``reply``, linked to the assistant's answer."""
+    return toolcalls.link(*toolcalls.turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"))
