@@ -5,6 +5,9 @@ minima and maxima of three permutations). Pairs come from two passes, and both a
 
 1. in each bucket, sorted by the values that follow the band, neighbours and the head of each run are
    paired: a number of pairs linear in the rows, enough to join most of a large group of copies;
+Before, documents that cannot be linked at all leave: their share of shingles that no other document in
+any bucket has is too large. The same count bounds the similarity of each pair in the second pass.
+
 2. in buckets that still hold several components, the rows outside the bucket's largest component are
    compared, block by block, with all its rows by signature; pairs of different components whose
    estimate lies within five deviations of the threshold go on.
@@ -121,8 +124,8 @@ def _near_pairs(rows: DataFrame) -> DataFrame:
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
     """Pairs whose sketches agree in a share of ``floor`` or more."""
-    one = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    two = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    one = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
+    two = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
 
     def work(batch: pa.RecordBatch) -> dict:
         same = np.array([
@@ -134,14 +137,32 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame
     return map_batches(pairs.join(one, "a").join(two, "b"), work, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs with den * intersection >= num * union on full shingle sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, items): packed full shingle sets of the documents of ``ids``."""
 
     def sets(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "items": [shingles(t, words).tobytes() for t in texts_of(batch)]}
 
-    full = cut_lineage(map_batches(docs.join(needed, "doc_id", "left_semi"), sets, "doc_id long, items binary"))
+    return cut_lineage(map_batches(docs.join(ids, "doc_id", "left_semi"), sets, "doc_id long, items binary").dropDuplicates(["doc_id"]))
+
+
+def _common(full: DataFrame) -> DataFrame:
+    """(doc_id, n, common): set size, and how many of the shingles another document of ``full`` has too."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("items").to_pylist()):
+                items = np.frombuffer(raw, np.int64)
+                yield {"doc_id": np.full(len(items), doc), "item": items}
+
+    lone = (map_partition(full, single, "doc_id long, item long").groupBy("item").agg(F.count("*").alias("held"), F.min("doc_id").alias("doc_id"))
+            .filter("held = 1").groupBy("doc_id").agg(F.count("*").alias("own")))
+    size = F.octet_length("items") / 8
+    return full.select("doc_id", size.cast("long").alias("n")).join(lone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs with den * intersection >= num * union on full shingle sets."""
     one, two = full.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), full.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -156,28 +177,30 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int
     return map_batches(pairs.join(one, "a").join(two, "b"), work, "a long, b long")
 
 
-def _outlier_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
+def _outlier_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, floor: float, num: int, den: int) -> DataFrame:
     """Second pass: pairs of different components that share a bucket and whose sketches agree enough."""
     named = members.join(labels, "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     rows = cut_lineage(named.join(mixed, "band"))
     top = (rows.groupBy("band", "root").agg(F.count("*").alias("n"))
            .groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("rows")))
-    dealt = (rows.join(top, "band").join(sketches.select("doc_id", "sketch"), "doc_id")
+    dealt = (rows.join(top, "band").join(sketches, "doc_id")
              .withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
              .withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), "blocks")).otherwise(0).cast("int")))
     whole = dealt.groupBy("band", "block").agg(
-        F.sort_array(F.collect_list(F.struct("doc_id", "root", "sketch"))).alias("all"), F.first("main").alias("main"))
+        F.sort_array(F.collect_list(F.struct("doc_id", "root", "n", "common", "sketch"))).alias("all"), F.first("main").alias("main"))
     out = whole.withColumn("odd", F.filter("all", lambda r: r["root"] != F.col("main"))).filter(F.size("odd") > 0).select("band", "odd")
 
     def work(batch: pa.RecordBatch) -> dict:
         a, b = [], []
         for odd, every in zip(batch.column("odd"), batch.column("all")):
-            (i, ri, si), (j, rj, sj) = _columns(odd), _columns(every)
+            (i, ri, ni, ci, si), (j, rj, nj, cj, sj) = _columns(odd), _columns(every)
             same = np.zeros((len(i), len(j)), np.int32)
             for at in range(0, si.shape[1], 16):
                 same += (si[:, None, at : at + 16] == sj[None, :, at : at + 16]).sum(2, dtype=np.int32)
-            x, y = np.nonzero((same >= floor * si.shape[1]) & (ri[:, None] != rj[None, :]))
+            most = np.minimum(ci[:, None], cj[None, :])  # of shingles in common
+            near = (same >= floor * si.shape[1]) & (den * most >= num * (ni[:, None] + nj[None, :] - most))
+            x, y = np.nonzero(near & (ri[:, None] != rj[None, :]))
             a.append(np.minimum(i[x], j[y]))
             b.append(np.maximum(i[x], j[y]))
         pairs = np.unique(np.array([np.concatenate(a), np.concatenate(b)]), axis=1)
@@ -186,10 +209,10 @@ def _outlier_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, f
     return map_batches(out.join(whole.select("band", "all"), "band"), work, "a long, b long").distinct()
 
 
-def _columns(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _columns(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
     values = rows.values
     sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), np.uint8).reshape(len(values), -1)
-    return values.field("doc_id").to_numpy(), values.field("root").to_numpy(), sketch
+    return *(values.field(c).to_numpy() for c in ("doc_id", "root", "n", "common")), sketch
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -208,18 +231,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = cut_lineage(_signed(source, words, count))
     classes = cut_lineage(base.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
-    heads = cut_lineage(base.join(classes, "class").filter("doc_id = rep").dropDuplicates(["class"]).select("doc_id", "n", "sketch", "bands"))
+    heads = cut_lineage(base.join(classes, "class").filter("doc_id = rep").dropDuplicates(["class"]).select("doc_id", "sketch", "bands"))
     following = F.transform("bands", lambda _, i: F.element_at("bands", (i + 1) % count + 1))
     rows = (heads.select("doc_id", F.explode(F.arrays_zip("bands", following.alias("following"))).alias("x"))
             .select("doc_id", F.col("x.bands").alias("band"), F.col("x.following").alias("next")))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("band")
     members = cut_lineage(rows.join(shared, "band"))
-    sketches = cut_lineage(heads.select("doc_id", "n", "sketch").join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
-
-    first = cut_lineage(_confirmed(_estimated(_near_pairs(members), sketches, floor), source, words, num, den))
-    roots = components(first)
-    labels = roots.select(F.col("node").alias("doc_id"), "root")
-    second = _confirmed(cut_lineage(_outlier_pairs(members.select("band", "doc_id"), labels, sketches, floor)), source, words, num, den)
+    full = _full_sets(source, members.select("doc_id").distinct(), words)
+    counted = _common(full).filter(den * F.col("common") >= num * F.col("n"))
+    sketches = cut_lineage(heads.select("doc_id", "sketch").join(counted, "doc_id"))
+    members = cut_lineage(members.join(sketches.select("doc_id"), "doc_id"))
+
+    first = cut_lineage(_confirmed(_estimated(_near_pairs(members), sketches, floor), full, num, den))
+    labels = components(first).select(F.col("node").alias("doc_id"), "root")
+    second = _confirmed(cut_lineage(_outlier_pairs(members.select("band", "doc_id"), labels, sketches, floor, num, den)), full, num, den)
     final = components(first.unionByName(second)).select(F.col("node").alias("rep"), "root")
     return (base.join(classes, "class", "left").join(final, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),

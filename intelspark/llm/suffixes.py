@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intelspark.llm.common import U64, map_partition, mix, parts, powers
+from intelspark.llm.common import U64, map_partition, mix, parts, powers, range_hashes
 
 LENGTH, ANCHOR = 50, 26
 REACH = LENGTH - ANCHOR + 1  # anchors that a string could have
-BUCKET_BYTES = 6 << 20  # text whose contexts share a bucket, on average
+BUCKET_BYTES = 3 << 20  # text whose contexts share a bucket, on average
 SHARE_BYTES = 16 << 20  # text of the documents that are cut together at the end, on average
 SORT_SYMBOLS = 1 << 16  # symbols sorted at a time
 
@@ -203,9 +203,10 @@ class _Bucket:
 
     def smallest_documents(self) -> np.ndarray:
         """For each 50-byte string of each context the smallest document that holds it."""
-        up, down = powers(len(self.data) + 1)
-        sums = np.append(U64(0), np.cumsum((self.data.astype(U64) + U64(1)) * up[: len(self.data)]))
-        whole = mix((sums[self.at + self.n + LENGTH - 1] - sums[self.at]) * down[self.at] + self.n.astype(U64))
+        size = self.n + LENGTH - 1
+        whole = np.concatenate([
+            range_hashes(self.data[self.at[a] : self.at[a : a + 8192][-1] + size[a : a + 8192][-1]], self.at[a : a + 8192] - self.at[a], self.at[a : a + 8192] - self.at[a] + size[a : a + 8192])
+            for a in range(0, len(size), 8192)])
         order = np.lexsort((whole, self.anchor))
         a, w = self.anchor[order], whole[order]
         group = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
