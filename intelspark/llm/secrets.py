@@ -103,8 +103,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         made = np.frombuffer(letters.encode(), np.uint8)[rng.integers(0, len(letters), (MADE // 3, 32))]
         for row in made:
             np.add.at(counts[0], _pairs(row.tobytes()), 1)
-    chance = (counts + 0.5).reshape(2, _SIZE, _SIZE)
-    log = np.log(chance / chance.sum(2, keepdims=True))
+    pairs = counts.reshape(2, _SIZE, _SIZE)
+    single = pairs.sum(1, keepdims=True) + 0.5  # pairs not seen fall back on how common the second character is
+    log = np.log((pairs + 5 * single / single.sum(2, keepdims=True)) / (pairs.sum(2, keepdims=True) + 5))
     return (log[0] - log[1]).ravel()
 
 
