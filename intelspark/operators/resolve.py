@@ -15,7 +15,8 @@ from intelspark.functions.rows import spread_array
 from intelspark.functions.text import alias_key, blank_to_null, strip
 from intelspark.sinks.merge import new_rows
 
-GRAM_MAX = 6  # longest character key of aliases that are matched as plain substrings
+GRAM_MAX = 4  # longest character key of aliases that are matched as plain substrings
+WORDS_MAX = 3  # longest key in words; the whole alias is verified afterwards
 
 
 # ------------------------------------------------------------------ discovery
@@ -89,7 +90,7 @@ def alias_index(pairs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ matching
 
-_WORD, _DIGITS, _OTHER = "[a-z0-9]+", "[0-9]+", r"[^\x00-\x7f]"
+_WORD, _DIGITS, _WIDE = "[a-z0-9]+", "[0-9]+", r"[^\x00-\x7f]"
 
 
 def _runs(text: Column, pattern: str) -> Column:
@@ -104,46 +105,43 @@ def alias_kind(alias: Column) -> Column:
 
 
 def keyed_aliases(index: DataFrame) -> DataFrame:
-    """Aliases with their join key; a Latin alias is keyed by all its letter-digit runs in order."""
-    kind = alias_kind(F.col("alias"))
-    words = F.array_join(_runs(F.col("alias"), _WORD), " ")
-    key = F.when(kind == "digits", F.col("alias")).when(kind == "word", words).otherwise(F.left("alias", F.lit(GRAM_MAX)))
-    size = F.when(kind == "word", F.size(_runs(F.col("alias"), _WORD))).otherwise(F.length(key))
-    return index.select("alias", "company_id", "alias_length", kind.alias("kind"), key.alias("key"), size.alias("size"))
+    """Aliases with their join key, which starts with the kind.
 
+    A Latin alias is keyed by its first ``WORDS_MAX`` letter-digit runs, any other by up to ``GRAM_MAX``
+    characters around its first character that is not ASCII (its first digit, if all are ASCII).
+    """
+    alias, kind = F.col("alias"), alias_kind(F.col("alias"))
+    words = F.array_join(F.slice(_runs(alias, _WORD), 1, WORDS_MAX), " ")
+    mark = F.coalesce(F.nullif(F.regexp_instr(alias, F.lit(_WIDE)), F.lit(0)), F.regexp_instr(alias, F.lit("[0-9]")))
+    gram = F.substring(alias, F.least(mark, F.greatest(F.length(alias) - GRAM_MAX + 1, F.lit(1))), F.lit(GRAM_MAX))
+    key = F.when(kind == "digits", alias).when(kind == "word", words).otherwise(gram)
+    return index.select("alias", "company_id", "alias_length", kind.alias("kind"), F.concat(kind, F.lit(":"), key).alias("key"))
 
-def _text_keys(text: Column, words: list[int], grams: list[int]) -> Column:
-    """Distinct keys of a text, for the key sizes that occur among the aliases only."""
-    runs = _runs(text, _WORD)
-    none = F.array().cast("array<struct<kind:string,key:string>>")
-    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-
-    def ngrams(n: int) -> Column:
-        starts = F.when(F.size(runs) >= n, F.sequence(F.lit(1), F.size(runs) - n + 1))
-        return F.coalesce(F.transform(starts, lambda i: pair("word", F.array_join(F.slice(runs, i, n), " "))), none)
 
-    def chars(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
-        return F.coalesce(F.transform(F.filter(starts, lambda i: ~F.substring(text, i, F.lit(n)).rlike("[a-z]{2}")),
-                                      lambda i: pair("plain", F.substring(text, i, F.lit(n)))), none)
+def _text_keys(text: Column) -> Column:
+    """Distinct keys of a text, each size found in one pass over it.
 
-    digits = F.transform(F.filter(_runs(text, _DIGITS), lambda d: F.length(d) >= 4), lambda d: pair("digits", d))
-    return F.array_distinct(F.concat(digits, *[ngrams(n) for n in words], *[chars(n) for n in grams]))
+    A look-ahead gives overlapping matches. A character key needs a character that is not ASCII, or a digit
+    and no letter, as every alias matched as a plain substring has around its mark.
+    """
+    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    named = lambda kind, keys: F.transform(keys, lambda k: F.concat(F.lit(f"{kind}:"), k))
+    words = [F.transform(every(rf"(?<![a-z0-9])(?=({_WORD}(?:[^a-z0-9]+{_WORD}){{{n - 1}}}))"), lambda k: F.regexp_replace(k, "[^a-z0-9]+", " "))
+             for n in range(1, WORDS_MAX + 1)]
+    wide = [every(rf"(?s)(?=.{{0,{n - 1}}}{_WIDE})(?=(.{{{n}}}))") for n in range(2, GRAM_MAX + 1)]
+    bare = [every(rf"(?s)(?=[^a-z]{{0,{GRAM_MAX - 1}}}[0-9])(?=([^a-z]{{{GRAM_MAX}}}))")]
+    digits = F.filter(_runs(text, _DIGITS), lambda d: F.length(d) >= 4)
+    return F.array_distinct(F.concat(named("digits", digits), *[named("word", k) for k in words], *[named("plain", k) for k in wide + bare]))
 
 
 def matches(texts: DataFrame, index: DataFrame, row: str = "row_id", text: str = "text", salts: int = 8) -> DataFrame:
     """All verified (row, alias, company) occurrences."""
     aliases = keyed_aliases(index)
-    # Only the few key sizes in use come to the driver (at most a dozen numbers).
-    sizes = aliases.select("kind", "size").distinct().collect()
-    words = sorted({r["size"] for r in sizes if r["kind"] == "word" and r["size"] > 0})
-    grams = sorted({r["size"] for r in sizes if r["kind"] == "plain"})
     normal = texts.select(row, alias_key(text).alias("_text")).filter(F.col("_text") != "")
     # The key side carries no text, so a long document is not copied per key.
-    keys = spread_array(normal, [row], _text_keys(F.col("_text"), words, grams), "k").select(
-        row, "k.kind", "k.key", F.pmod(F.xxhash64(row), F.lit(salts)).alias("salt"))
+    keys = spread_array(normal, [row], _text_keys(F.col("_text")), "key").withColumn("salt", F.pmod(F.xxhash64(row), F.lit(salts)))
     spread = aliases.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
-    found = keys.join(spread, ["kind", "key", "salt"]).select(row, "kind", "alias", "company_id", "alias_length")
+    found = keys.join(spread, ["key", "salt"]).select(row, "kind", "alias", "company_id", "alias_length")
     joined = found.join(normal, row)
     literal = F.concat(F.lit(r"\Q"), F.replace(F.col("alias"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     inside = (

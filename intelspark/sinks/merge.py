@@ -5,6 +5,9 @@ Each function returns the rows to append or the new state; writers put them into
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,35 +23,48 @@ def with_hash(rows: DataFrame, fields, out: str) -> DataFrame:
     return rows.withColumn(out, content_hash([f for f in fields if f in rows.columns]))
 
 
+def _first(batch: DataFrame, keys: list[str], order: tuple[Column, ...]) -> DataFrame:
+    """One row per key: the first in ``order``, ties and no order settled by content, so that a rerun picks the same."""
+    return latest_by(batch, keys, *order, F.asc(F.to_json(F.struct(*[F.col(c) for c in batch.columns if c not in keys] or [F.lit(1)]))))
+
+
+def _same_keys(keys: list[str], target: str, batch: str) -> Column:
+    """Null keys equal null keys."""
+    return reduce(and_, [F.equal_null(F.col(f"{target}.{k}"), F.col(f"{batch}.{k}")) for k in keys])
+
+
 def new_rows(target: DataFrame, batch: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """Rows of the batch the target lacks, the first per key: insert-or-ignore.
+    """Rows of the batch the target lacks, the first per key in ``order``: insert-or-ignore.
 
     The window keeps one row per key before its shuffle, so repeated deliveries of one key stay
-    small; null keys never match in a join, so keys are compared as non-null columns.
+    small. A null key is a key: it is new only while the target holds none.
     """
-    first = latest_by(batch, keys, *(order or [F.asc(k) for k in keys]))
-    return first.join(target.select(*keys), keys, "left_anti")
+    return _first(batch, keys, order).alias("new").join(target.select(*keys).alias("old"), _same_keys(keys, "old", "new"), "left_anti")
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update: bool = True, columns: list[str] | None = None, *order: Column) -> DataFrame:
-    """New state of the target: unseen keys added, seen keys updated (or left alone)."""
-    first = latest_by(batch, keys, *(order or [F.asc(k) for k in keys]))
+    """New state of the target: unseen keys added, seen keys updated (or left alone).
+
+    Columns that only the batch has are added to the target.
+    """
     if not update:
-        return target.unionByName(first.join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
-    changed = columns or [c for c in first.columns if c not in keys]
-    given = first.select(*keys, *[F.col(c).alias(f"new_{c}") for c in first.columns if c not in keys], F.lit(True).alias("given"))
-    joined = target.withColumn("had", F.lit(True)).join(given, keys, "full")
-    pick = {}
-    for c in target.columns:
+        return target.unionByName(new_rows(target, batch, keys, *order), allowMissingColumns=True)
+    first = _first(batch, keys, order)
+    extra = [F.lit(None).cast(first.schema[c].dataType).alias(c) for c in first.columns if c not in target.columns]
+    old = target.select("*", *extra, F.lit(True).alias("had")).alias("old")
+    joined = old.join(first.withColumn("given", F.lit(True)).alias("new"), _same_keys(keys, "old", "new"), "full")
+    changed = columns or first.columns
+
+    def value(c: str) -> Column:
+        was, now = F.col(f"old.{c}"), F.col(f"new.{c}") if c in first.columns else F.lit(None)
         if c in keys:
-            continue
-        if c not in first.columns:
-            pick[c] = F.col(c)
-        elif c in changed:
-            pick[c] = F.when(F.col("given"), F.col(f"new_{c}")).otherwise(F.col(c))
-        else:
-            pick[c] = F.when(F.col("had"), F.col(c)).otherwise(F.col(f"new_{c}"))
-    return joined.select(*keys, *[expr.alias(c) for c, expr in pick.items()])
+            return F.coalesce(was, now)
+        if c in changed and c in first.columns:
+            return F.when(F.col("given"), now).otherwise(was)
+        return F.when(F.col("had"), was).otherwise(now)
+
+    rest = [c for c in old.columns if c not in keys and c != "had"]
+    return joined.select(*[value(c).alias(c) for c in keys + rest])
 
 
 def set_state(states: DataFrame, changes: DataFrame, now: Column) -> DataFrame:

@@ -7,6 +7,7 @@ sources; only concatenated JSON and unknown encodings take an Arrow-batched Pyth
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,32 +63,23 @@ def announcements(spark: SparkSession, path: str, limit: int | None = None) -> D
     return rows.orderBy(F.desc("announcementTime"), F.desc("announcementId")).limit(limit) if limit else rows
 
 
-def _json_values(blob: str):
-    decoder, at = json.JSONDecoder(), 0
-    while True:
-        while at < len(blob) and blob[at].isspace():
-            at += 1
-        if at >= len(blob):
-            return
-        try:
-            value, at = decoder.raw_decode(blob, at)
-        except ValueError:
-            return
-        yield value
+# Where a news payload keeps its items, in order of preference.
+NEWS_LISTS = ("results", "data", "items", "news")
 
 
-def _news_in(value):
-    if isinstance(value, list):
-        return value
-    if not isinstance(value, dict):
-        return []
-    for key in ("results", "data", "items", "news"):
-        inner = value.get(key)
-        if isinstance(inner, dict):
-            inner = inner.get("results")
-        if isinstance(inner, list):
-            return inner
-    return [value] if "title" in value or "url" in value else []
+def _news_items(blob: str) -> list[dict]:
+    """Objects of the JSON values that stand one after another in ``blob``, up to the first that is broken."""
+    decode, found, end = json.JSONDecoder().raw_decode, [], 0
+    while start := re.compile(r"\S").search(blob, end):
+        try:
+            value, end = decode(blob, start.start())
+        except ValueError:
+            break
+        named = value if isinstance(value, dict) else {}
+        boxes = [value, *(named.get(name) for name in NEWS_LISTS)]
+        lists = [x for x in (box.get("results") if box is not value and isinstance(box, dict) else box for box in boxes) if isinstance(x, list)]
+        found += lists[0] if lists else [named] if named.keys() & {"title", "url"} else []
+    return [item for item in found if isinstance(item, dict)]
 
 
 def concatenated_news(spark: SparkSession, path: str) -> DataFrame:
@@ -99,8 +91,7 @@ def concatenated_news(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for file, blob in zip(batch["file"], batch["value"]):
-                found = (item for value in _json_values(blob) for item in _news_in(value) if isinstance(item, dict))
-                for pos, item in enumerate(found):
+                for pos, item in enumerate(_news_items(blob)):
                     text = lambda *keys: next((str(item[k]).strip() for k in keys if item.get(k)), "")  # noqa: B023, E731
                     rows.append((file, pos, text("title"), text("url"), text("publishDate", "date"), text("description"), text("newsContentType")))
             yield pd.DataFrame(rows, columns=columns)

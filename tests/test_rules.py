@@ -161,3 +161,27 @@ def test_no_numbers_lost_in_plain_model(spark):
     for v, o in zip(raw, got):
         want = float(re.search(r"-?\d+(?:\.\d+)?", v.replace("$", "")).group()) * (1000 if v.endswith("千") else 1)
         assert o == pytest.approx(want)
+
+
+@pytest.mark.parametrize("alias,text_", [
+    ("TCL科技", "昨日TCL科技发布年报"), ("BYD比亚迪", "约BYD比亚迪股份"), ("阿里Alibaba", "看阿里alibaba集团"), ("Société Générale", "la SOCIÉTÉ GÉNÉRALE a"),
+    ("ＡＢＣＤ Holdings", "the abcd holdings group"), ("腾讯控股", "x腾讯控股x"), ("Bank of East Asia Group", "at Bank of East Asia Group, then"), ("600-519.88", "no 600-519.88 here")])
+def test_aliases_of_any_script(spark, alias, text_):
+    index = r.alias_index(spark.createDataFrame([("c1", alias), ("c2", "Some Other Name")], "company_id string, raw string"))
+    found = r.match_companies(spark.createDataFrame([(1, text_), (2, "nothing of it")], "row_id int, text string"), index).collect()
+    assert [(x["row_id"], x["company_id"]) for x in found] == [(1, "c1")]
+
+
+def test_null_keys_and_ties_of_merges(spark):
+    target = spark.createDataFrame([(None, "old"), (1, "one")], "k int, v string")
+    batch = spark.createDataFrame([(None, "z"), (2, "b"), (2, "a"), (1, "x")], "k int, v string")
+    assert [tuple(x) for x in new_rows(target, batch, ["k"]).collect()] == [(2, "a")]
+    got = upsert(target, batch.withColumn("w", F.lit(1)), ["k"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, "z", 1), (1, "x", 1), (2, "a", 1)], key=str)
+
+
+def test_tables_keep_all_rows(spark):
+    page = "<table><tr><th>a</th><th>b</th></tr>" + "".join(f"<tr><td>{i}</td><td>x</td></tr>" for i in range(60)) + "</table>"
+    assert p.html_table_rows(spark.createDataFrame([(1, page)], "id int, html string"), "html", ["id"]).count() == 60
+    many = json.dumps({"rows": [{"a": i} for i in range(60)]})
+    assert len(p.json_parts(spark.createDataFrame([(1, many)], "id int, t string"), "id", "t").first()["tables"][0]["rows"]) == 60
