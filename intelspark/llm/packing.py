@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,12 @@ class WordIds:
         return [self.known[w] for w in words]
 
 
+@lru_cache(2)
+def word_ids(vocabulary: str) -> WordIds:
+    """A worker's own coder; what it has coded serves all tasks that the worker runs."""
+    return WordIds(vocabulary)
+
+
 def _ids(raw: bytes, length: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{len(raw) // length}")
 
@@ -80,7 +87,7 @@ def _tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
     schema = "doc_id long, doc_tokens long, start long, length long, crc long, ids binary, place long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        words = WordIds(vocabulary)
+        words = word_ids(vocabulary)
         for part in parts(batches):
             rows = []
             distinct, codes, offsets = split_words(part.column("text"))
