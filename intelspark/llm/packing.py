@@ -20,6 +20,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1  # id that follows each document
 WINDOW = 2048
 PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]*)")
+LETTERS = re.compile("[a-zà-öø-ÿ]+(?: [a-zà-öø-ÿ]+)*")
+WORD_END = "</w>"  # mark of the vocabulary's tokens that end a word
 SHARD_TOKENS = 1 << 21  # tokens of a shard of the index, on average
 QUERY_TERMS = 24  # terms of a seed that are looked up
 NEIGHBOURS = 48  # candidates taken from the index at a time
@@ -43,6 +45,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else path(vocabulary))
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -52,16 +56,36 @@ class WordIds:
             self.cores, new = {}, list(set(words))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            self.cores.update(zip(part, [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
+            self.cores.update(zip(part, self._joined(part) or [np.array(e.ids, np.int32).tobytes() for e in self._encode(part)]))
         return [self.cores[w] for w in words]
 
+    def _encode(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _joined(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words coded as one text and cut after each id that ends a word; null unless all are plain letters.
+
+        One word of letters is one step of the vocabulary, so it has one such id, its last.
+        """
+        if not LETTERS.fullmatch(text := " ".join(words)):
+            return None
+        ids = np.array(self._encode([text])[0].ids, np.int32)
+        ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return None
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
     def ids(self, words: list[str]) -> list[bytes]:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known, new = {}, words
-        cut = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, "") for w in new]
-        tails = {m: self._code([m])[0] if m else b"" for m in {m for _, m in cut}}
-        self.known.update(zip(new, [h + tails[m] for h, (_, m) in zip(self._code([h for h, _ in cut]), cut)]))
+        plain = [m for w in new if (m := PLAIN.fullmatch(w))]
+        tails = {m: self._code([m])[0] if m else b"" for m in {m[2] for m in plain}}
+        heads = self._code([m[1].lower() for m in plain])
+        self.known.update(zip([m[0] for m in plain], [h + tails[m[2]] for h, m in zip(heads, plain)]))
+        other = [w for w in new if w not in self.known]
+        self.known.update(zip(other, self._code(other)))
         return [self.known[w] for w in words]
 
 
