@@ -5,15 +5,17 @@ minima and maxima of three permutations). Pairs come from two passes, and both a
 
 1. in each bucket, sorted by the values that follow the band, neighbours and the head of each run are
    paired: a number of pairs linear in the rows, enough to join most of a large group of copies;
-Before, documents that cannot be linked at all leave: their share of shingles that no other document in
+Before both, documents that cannot be linked at all leave: their share of shingles that no other document in
 any bucket has is too large. The same count bounds the similarity of each pair in the second pass.
 
 2. in buckets that still hold several components, the rows outside the bucket's largest component are
-   compared, block by block, with all its rows by signature; pairs of different components whose
-   estimate lies within five deviations of the threshold go on.
+   compared, block by block, with all its rows by signature; rows of different components whose
+   estimate lies within five deviations of the threshold fall into one group. Inside a group, the rows
+   outside its largest component meet all others with their full sets, again block by block.
 
 So a large group of copies is joined by a linear number of pairs, while no bucket-mates of different
-components are left untested. Buckets are cut into blocks, so none has to fit into one task.
+components are left untested. Pairs of the second pass exist only inside a block's task, which returns
+no more links than it has rows. Buckets and groups are cut into blocks, so none has to fit into one task.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from intelspark.session import cut_lineage
 PERMS_PER_BAND = 3
 MISS = 1e-6  # chance that a pair at the threshold shares no band
 RUN = 256  # rows of a bucket that share a head in the first pass
-BLOCK = 512  # rows of a bucket in a block of the second pass
+BLOCK = 512  # rows of a bucket or group in a block of the second pass
+BLOCK_BYTES = 2 << 20  # full sets in a block of the second pass, on average
 
 
 def band_count(threshold: float) -> int:
@@ -177,8 +180,33 @@ def _confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFra
     return map_batches(pairs.join(one, "a").join(two, "b"), work, "a long, b long")
 
 
-def _outlier_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, floor: float, num: int, den: int) -> DataFrame:
-    """Second pass: pairs of different components that share a bucket and whose sketches agree enough."""
+def _stars(a: np.ndarray, b: np.ndarray) -> dict:
+    """As many links as hold the same nodes together: each node with the smallest one it is connected to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root, before = np.arange(len(nodes)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        low = np.minimum(root[x], root[y])
+        for end in (x, y, before[x], before[y]):
+            np.minimum.at(root, end, low)
+        root = root[root]
+    led = root != np.arange(len(nodes))
+    return {"a": nodes[root[led]], "b": nodes[led]}
+
+
+def _near(odd: tuple, every: tuple, floor: float, num: int, den: int) -> np.ndarray:
+    """Which rows of ``odd`` and ``every`` are of different components and could be linked, by sketches and sizes."""
+    (_, ri, ni, ci, si), (_, rj, nj, cj, sj) = odd, every
+    same = np.zeros((len(ri), len(rj)), np.int32)
+    for at in range(0, si.shape[1], 16):
+        same += (si[:, None, at : at + 16] == sj[None, :, at : at + 16]).sum(2, dtype=np.int32)
+    most = np.minimum(ci[:, None], cj[None, :])  # of shingles in common
+    return (same >= floor * si.shape[1]) & (den * most >= num * (ni[:, None] + nj[None, :] - most)) & (ri[:, None] != rj[None, :])
+
+
+def _outlier_groups(members: DataFrame, labels: DataFrame, sketches: DataFrame, floor: float, num: int, den: int) -> DataFrame:
+    """Second pass: links (a, b) that hold together all documents of different components whose sketches agree in a bucket."""
     named = members.join(labels, "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     rows = cut_lineage(named.join(mixed, "band"))
@@ -194,21 +222,63 @@ def _outlier_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, f
     def work(batch: pa.RecordBatch) -> dict:
         a, b = [], []
         for odd, every in zip(batch.column("odd"), batch.column("all")):
-            (i, ri, ni, ci, si), (j, rj, nj, cj, sj) = _columns(odd), _columns(every)
-            same = np.zeros((len(i), len(j)), np.int32)
-            for at in range(0, si.shape[1], 16):
-                same += (si[:, None, at : at + 16] == sj[None, :, at : at + 16]).sum(2, dtype=np.int32)
-            most = np.minimum(ci[:, None], cj[None, :])  # of shingles in common
-            near = (same >= floor * si.shape[1]) & (den * most >= num * (ni[:, None] + nj[None, :] - most))
-            x, y = np.nonzero(near & (ri[:, None] != rj[None, :]))
-            a.append(np.minimum(i[x], j[y]))
-            b.append(np.maximum(i[x], j[y]))
-        pairs = np.unique(np.array([np.concatenate(a), np.concatenate(b)]), axis=1)
-        return {"a": pairs[0], "b": pairs[1]}
+            odd, every = _columns(odd), _columns(every)
+            x, y = np.nonzero(_near(odd, every, floor, num, den))
+            a.append(odd[0][x])
+            b.append(every[0][y])
+        return _stars(np.concatenate(a), np.concatenate(b))
 
     return map_batches(out.join(whole.select("band", "all"), "band"), work, "a long, b long").distinct()
 
 
+def _outlier_links(groups: DataFrame, labels: DataFrame, sketches: DataFrame, full: DataFrame, floor: float, num: int, den: int) -> DataFrame:
+    """Confirmed links between different components inside each group of ``groups`` (doc_id, near).
+
+    The rows outside a group's largest component meet all its rows block by block, with their full sets;
+    a block returns as many links as hold its linked rows together.
+    """
+    named = (groups.join(labels, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+             .join(sketches, "doc_id").join(full, "doc_id"))
+    rows = cut_lineage(named)
+    top = (rows.groupBy("near", "root").agg(F.count("*").alias("rows"), F.sum(F.octet_length("items")).alias("bytes"))
+           .groupBy("near").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")))
+    dealt = (rows.join(top, "near")
+             .withColumn("blocks", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("bytes") / BLOCK_BYTES)))
+             .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")))
+    held = F.collect_list(F.struct("doc_id", "root", "n", "common", "sketch", "items"))
+    odd = dealt.filter("root <> main").groupBy("near", "block").agg(held.alias("odd")).drop("block")
+    every = dealt.groupBy("near", "block").agg(held.alias("all"), F.first("main").alias("main")).drop("block")
+
+    def work(batch: pa.RecordBatch) -> dict:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for odd, rows, main in zip(batch.column("odd"), batch.column("all"), batch.column("main").to_pylist()):
+            left, right = _columns(odd), _columns(rows)
+            # Two rows outside the largest component meet twice; the first time is enough.
+            near = _near(left, right, floor, num, den) & ((right[1] == main)[None, :] | (left[0][:, None] < right[0][None, :]))
+            some, others = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+            if not len(some):
+                continue
+            mine, theirs = _items(odd, some), _items(rows, others)
+            known, code = np.unique(np.concatenate(theirs), return_inverse=True)
+            ends = np.cumsum([len(t) for t in theirs])
+            for i, items in zip(some.tolist(), mine):
+                at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+                mark = np.zeros(len(known), np.int64)
+                mark[at[known[at] == items]] = 1
+                common = np.diff(np.cumsum(mark[code])[ends - 1], prepend=0)
+                linked = near[i, others] & (den * common >= num * (left[2][i] + right[2][others] - common))
+                b.append(right[0][others[linked]])
+                a.append(np.full(len(b[-1]), left[0][i]))
+        return _stars(np.concatenate(a), np.concatenate(b))
+
+    return map_batches(odd.join(every, "near"), work, "a long, b long").distinct()
+
+
+def _items(rows: pa.ListScalar, some: np.ndarray) -> list[np.ndarray]:
+    values = rows.values.field("items")
+    return [np.frombuffer(values[i].as_py(), U64) for i in some.tolist()]
+
+
 def _columns(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
     values = rows.values
     sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), np.uint8).reshape(len(values), -1)
@@ -244,7 +314,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     first = cut_lineage(_confirmed(_estimated(_near_pairs(members), sketches, floor), full, num, den))
     labels = components(first).select(F.col("node").alias("doc_id"), "root")
-    second = _confirmed(cut_lineage(_outlier_pairs(members.select("band", "doc_id"), labels, sketches, floor, num, den)), full, num, den)
+    near = components(_outlier_groups(members.select("band", "doc_id"), labels, sketches, floor, num, den))
+    groups = near.select(F.col("node").alias("doc_id"), F.col("root").alias("near"))
+    second = _outlier_links(groups, labels, sketches, full, floor, num, den)
     final = components(first.unionByName(second)).select(F.col("node").alias("rep"), "root")
     return (base.join(classes, "class", "left").join(final, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
