@@ -242,12 +242,15 @@ def _outlier_links(groups: DataFrame, labels: DataFrame, sketches: DataFrame, fu
     rows = cut_lineage(named)
     top = (rows.groupBy("near", "root").agg(F.count("*").alias("rows"), F.sum(F.octet_length("items")).alias("bytes"))
            .groupBy("near").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")))
+    # Blocks are dealt by group and block, so the blocks and block pairs of one large group spread over tasks.
     dealt = (rows.join(top, "near")
              .withColumn("blocks", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("bytes") / BLOCK_BYTES)))
-             .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")))
+             .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+             .repartition("near", "block"))
     held = F.collect_list(F.struct("doc_id", "root", "n", "common", "sketch", "items"))
-    odd = dealt.filter("root <> main").groupBy("near", "block").agg(held.alias("odd")).drop("block")
-    every = dealt.groupBy("near", "block").agg(held.alias("all"), F.first("main").alias("main")).drop("block")
+    odd = (dealt.filter("root <> main").groupBy("near", "block").agg(held.alias("odd"), F.first("blocks").alias("blocks"))
+           .select("near", "odd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
+    every = dealt.groupBy("near", "block").agg(held.alias("all"), F.first("main").alias("main"))
 
     def work(batch: pa.RecordBatch) -> dict:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -271,7 +274,7 @@ def _outlier_links(groups: DataFrame, labels: DataFrame, sketches: DataFrame, fu
                 a.append(np.full(len(b[-1]), left[0][i]))
         return _stars(np.concatenate(a), np.concatenate(b))
 
-    return map_batches(odd.join(every, "near"), work, "a long, b long").distinct()
+    return map_batches(odd.join(every, ["near", "block"]), work, "a long, b long").distinct()
 
 
 def _items(rows: pa.ListScalar, some: np.ndarray) -> list[np.ndarray]:

@@ -53,6 +53,27 @@ def test_near_duplicates(docs, rows, empty):
     assert root[2] == root[4] == 1 and minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_around_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)  # several blocks in a bucket and in a group
+    rng = random.Random(11)
+    texts = []
+    for family in range(2):
+        base = made(150, 500 + family).split()
+        for i in range(45):
+            edits = set(rng.sample(range(150), rng.randint(1, 7)))
+            texts.append(" ".join(f"new{family}x{i}x{k}" if k in edits else w for k, w in enumerate(base)))
+    sets = [set(shingles(t, 3).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85, 100).collect()}
+    assert got == dict(enumerate(root)) and 2 < len(set(root)) < len(texts)
+    ends = minhash._stars(np.array([5, 7, 9, 1]), np.array([7, 9, 11, 2]))
+    assert sorted(zip(ends["a"].tolist(), ends["b"].tolist())) == [(1, 2), (5, 7), (5, 9), (5, 11)]
+
+
 def test_suffix_order():
     rng = random.Random(4)
     for _ in range(300):
