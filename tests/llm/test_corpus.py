@@ -186,3 +186,24 @@ def test_tool_calls(spark):
     assert got["a"].linked and got["a"].valid and got["a"].payload == '{"arguments":{"x":1,"y":2},"id":"a","name":"add","result":"3"}'
     assert not got["b"].valid and not got["b"].linked and got["b"].ordered and not got["c"].valid and '"no json"' in got["c"].payload
     assert toolcalls.link(*toolcalls.turns_as_calls(chat), {}).count() == 1
+
+
+def test_decontamination_of_edited_copies(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items, texts = [[word() for _ in range(n)] for n in (6, 17, 40, 59, 128, 300)], []
+    for i, item in enumerate(items):
+        edits = {k: [[w if j % k else f"new{i}x{j}" for j, w in enumerate(item)], [x for j, w in enumerate(item) for x in ([w, f"more{i}x{j}"] if j % k == k - 1 else [w])],
+                     [w for j, w in enumerate(item) if j % k]] for k in (1, 2, 3, 4)}
+        alone = i % 2
+        texts += [[*(word() for _ in range(rng.randint(0, 600))), *x, *(word() for _ in range(300))] for k in edits for x in edits[k]]
+        texts += [] if alone else [[*item, word()] for _ in range(3)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    hashed, want = [decontaminate.words(" ".join(t)).view(np.int64) for t in texts], {}
+    for i, item in enumerate(items):
+        w = decontaminate.words(" ".join(item)).view(np.int64)
+        cut = [w[at : at + 128] for at in range(0, max(1, len(w) - 64), 64)]
+        scores = np.max([decontaminate.align([part] * len(hashed), hashed) for part in cut], axis=0)
+        want |= {(d, i): s for d, s in enumerate(scores.tolist()) if s >= 0.5}
+    assert got == want and len(want) > 50
