@@ -45,13 +45,15 @@ NOTICES = (
     ("license-text", "redistribution and use in source and binary forms", 2), ("license-notice", "this work is licen[sc]ed", 1), ("license-notice", "see the licen[sc]e for", 1),
 )
 CONFIDENCE = {1: 0.5, 2: 0.75, 3: 0.9, BASE_PRIORITY: 1.0}
-# A text without any of these in lower case matches no rule.
+# A text without any of these in lower case matches no rule but those of UNDER, which need not say licence.
 KEYWORDS = ("licen", "gpl", "mozilla", "creative", "copyright", "rights", "domain", "warranty", "permission", "redistribution")
+UNDER = tuple(t for t, _ in TEMPLATES if "licen" not in t.replace("(?: licen[sc]e)?", "").replace("licensed|", ""))
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # what stands between words of lower case
 
 
 def rules() -> list[tuple[str, str, str, int]]:
     """(keyword, pattern, label, priority): every family in every template, and the notices; priority counts up."""
-    out = [("licen" if "licen" in t.replace("(?: licen[sc]e)?", "").replace("licensed|", "") else "under", t % names, label, p) for t, p in TEMPLATES for label, names in NAMES.items()]
+    out = [("under" if t in UNDER else "licen", t % names, label, p) for t, p in TEMPLATES for label, names in NAMES.items()]
     return out + [(next(k for k in KEYWORDS if k in pattern), pattern, label, p) for label, pattern, p in NOTICES]
 
 
@@ -85,10 +87,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
-    named = low.contains("cc") & low.rlike("cc[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+by")
+    named = low.contains("cc") & low.rlike(f"cc{BETWEEN}by")
+    stated = low.contains("under") & low.rlike("|".join(t % "|".join(NAMES.values()) for t in UNDER).replace(" ", f"(?:{BETWEEN})"))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    normal = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, upper, upper.lower()), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")), F.lit(" "))
-    gate = reduce(lambda a, b: a | b, [low.contains(k) for k in KEYWORDS], named)
+    normal = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, upper, upper.lower()), BETWEEN, " ")), F.lit(" "))
+    gate = reduce(lambda a, b: a | b, [low.contains(k) for k in KEYWORDS], named | stated)
     none = F.array().cast("array<struct<s:int,n:int,p:int,label:string>>")
     table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p).alias("pattern"), F.lit(label).alias("label"), F.lit(n).alias("priority")) for k, p, label, n in rules()])
 

@@ -207,3 +207,34 @@ def test_decontamination_of_edited_copies(spark):
         scores = np.max([decontaminate.align([part] * len(hashed), hashed) for part in cut], axis=0)
         want |= {(d, i): s for d, s in enumerate(scores.tolist()) if s >= 0.5}
     assert got == want and len(want) > 50
+
+
+def shortest(parsed):
+    """A text of a pattern without its optional parts: first branches, fewest repeats."""
+    out = ""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "BRANCH":
+            out += min((shortest(x) for x in arg[1]), key=len)
+        elif kind == "SUBPATTERN":
+            out += shortest(arg[-1])
+        elif kind == "MAX_REPEAT":
+            out += shortest(arg[2]) * arg[0]
+        elif kind == "NOT_LITERAL":
+            out += "x"
+        elif kind == "IN":
+            out += chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1])
+        else:
+            out += chr(arg)
+    return out
+
+
+def test_every_license_rule_on_its_shortest_text(spark):
+    from re import _parser
+
+    texts = [shortest(_parser.parse(pattern)) for _, pattern, _, _ in licenses.rules()]
+    texts += ["Code RELEASED under\nthe MIT", "distributed under the terms of the BSD", "available under Apache-2.0", "published under CC0", "the file was put under the table"]
+    got = [r.labels for r in licenses.scan(spark.createDataFrame([(i, f"Say: {t}.") for i, t in enumerate(texts)], "doc_id int, text string")).orderBy("doc_id").collect()]
+    for (_, pattern, label, _), text, labels in zip(licenses.rules(), texts, got):
+        assert re.fullmatch(pattern, text) and label in labels.split(","), (text, label, labels)
+    assert got[-5:] == ["mit", "bsd", "apache-2", "cc0", ""]
