@@ -238,3 +238,18 @@ def test_every_license_rule_on_its_shortest_text(spark):
     for (_, pattern, label, _), text, labels in zip(licenses.rules(), texts, got):
         assert re.fullmatch(pattern, text) and label in labels.split(","), (text, label, labels)
     assert got[-5:] == ["mit", "bsd", "apache-2", "cc0", ""]
+
+
+def test_tool_calls_in_order_of_use(spark):
+    calls = [
+        (1, 1, 0, "late", '{"deep":{"list":[1,"$result:early"]}}'), (1, 1, 1, "early", '{"say":"quote \\"$result:late\\"","$result:late":1}'), (1, 2, 0, "later", '["$result:late"]'),
+        (2, 1, 0, "a", '{"x":"$result:b"}'), (2, 1, 1, "b", '{"x":"$result:a"}'), (2, 2, 0, "c", '{"x":"$result:b"}'), (2, 2, 1, "d", '{"x":{"y":"$result:gone"}}'), (2, 3, 0, "e", "{}"),
+        (3, 1, 0, None, '{"x":"$result:z\\"q"}'), (3, 1, 1, 'z"q', "no json $result:late")]
+    results = [(1, 3, "early", "1"), (1, 3, "nobody", "2"), (3, 2, "early", "3")]
+    calls = spark.createDataFrame(calls, "conv_id long, turn int, place int, call_id string, arguments string").selectExpr("*", "'t' as tool")
+    results = spark.createDataFrame(results, "conv_id long, turn int, call_id string, content string")
+    got = toolcalls.link(calls, results, {}).orderBy("conv_id", "position").collect()
+    assert [r.call_id for r in got if r.conv_id == 1] == ["early", "late", "later"] and all(r.ordered for r in got if r.conv_id == 1)
+    assert {r.call_id for r in got if r.conv_id == 2 and not r.ordered} == {"a", "b", "c", "d"}
+    assert [(r.call_id, r.ordered) for r in got if r.conv_id == 3] == [('z"q', True), (None, True)]
+    assert sorted(tuple(r) for r in toolcalls.orphans(calls, results).collect()) == [(1, 3, "nobody", "2"), (3, 2, "early", "3")]
