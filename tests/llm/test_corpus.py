@@ -253,3 +253,16 @@ def test_tool_calls_in_order_of_use(spark):
     assert {r.call_id for r in got if r.conv_id == 2 and not r.ordered} == {"a", "b", "c", "d"}
     assert [(r.call_id, r.ordered) for r in got if r.conv_id == 3] == [('z"q', True), (None, True)]
     assert sorted(tuple(r) for r in toolcalls.orphans(calls, results).collect()) == [(1, 3, "nobody", "2"), (3, 2, "early", "3")]
+
+
+def test_fertility_rejects_planted_junk(spark):
+    rng = random.Random(9)
+    good = lambda n: " ".join(f"{a} {b}" for a, b in zip(rng.choices(WORDS, k=n), rng.choices("of the and with from over into under between about".split(), k=n)))
+    junk = lambda n: " ".join("".join(rng.choice("qxzjkvwb") for _ in range(9)) for _ in range(n))
+    copy = junk(65)
+    rows = [(i, good(60), "en") for i in range(200)] + [(300, junk(65), "en"), (301, "🜁🜂🜃 " * 2 + " ".join(f"🜁{chr(0x1F700 + i)}{chr(0x1F730 + i)}" for i in range(40)) + good(10), "en")]
+    rows += [(400 + i, copy, "en") for i in range(100)]  # a third of the class
+    rows += [(600 + i, junk(65), "xx") for i in range(3)] + [(700, good(60), "xx")]  # a tiny class
+    kept = {r.doc_id: r.kept for r in fertility.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(kept[i] for i in range(200)) >= 190 and kept[700]
+    assert not any(kept[i] for i in [300, 301, *range(400, 500), *range(600, 603)])
