@@ -122,7 +122,7 @@ def k6(v):
 one AS (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY doc_id, name, value ORDER BY a, c, pos, spec) = 1)
 SELECT doc_id, name, value, left(s, 240) AS context FROM one QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first_at) <= 20""")
 def k7(v):
-    out = p.with_metrics(_docs(v).withColumn("s", p.sentences("text")), "s", METRICS)
+    out = p.with_metrics(_docs(v).withColumn("s", p.sentences("text")), "s", METRICS, 20)
     return out.select("doc_id", F.explode_outer("metrics").alias("m")).filter(F.col("m").isNotNull()).select("doc_id", "m.name", "m.value", "m.context")
 
 
@@ -132,7 +132,7 @@ one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, name,
 SELECT doc_id, name AS category, left(s, 300) AS description, CASE WHEN regexp_matches(lower(s), '{_alt(HINTS)}') THEN 'high' ELSE 'medium' END AS severity FROM one
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) <= 12""")
 def k8(v):
-    found = p.risks(p.sentences("text"), CATEGORIES, ANCHORS, HINTS)
+    found = p.risks(p.sentences("text"), CATEGORIES, ANCHORS, HINTS, 12)
     return _docs(v).select("doc_id", F.explode_outer(found).alias("r")).filter(F.col("r").isNotNull()).select("doc_id", "r.category", "r.description", "r.severity")
 
 
@@ -143,7 +143,7 @@ one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, name,
 SELECT doc_id, name AS event_type, left(s, 300) AS summary FROM one QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) <= 12""")
 def k9(v):
     seeds = F.concat(F.array(F.concat(F.lit("Notice 2024 from "), "source")), p.sentences("text"))
-    found = p.events(seeds, EVENTS, NEGATIVE)
+    found = p.events(seeds, EVENTS, NEGATIVE, 12)
     return _docs(v).select("doc_id", F.explode_outer(found).alias("e")).filter(F.col("e").isNotNull()).select("doc_id", "e.event_type", "e.summary")
 
 

@@ -192,7 +192,7 @@ def m3(v):
     none = F.array().cast("array<string>")
     docs = v.texts("documents", "doc_id")
     cases = docs.select(
-        F.col("doc_id").alias("case_id"), F.col("text").alias("content"), F.array(F.left("text", F.lit(12))).alias("quote_substrings"), F.array(F.lit("risk_factor")).alias("expected_fact_types"),
+        F.col("doc_id").alias("case_id"), F.col("text").alias("content"), F.array("text").alias("quote_substrings"), F.array(F.lit("risk_factor")).alias("expected_fact_types"),
         *[none.alias(c) for c in ("expected_metric_names", "expected_event_types", "expected_risk_categories", "expected_eligible_types", "expected_context_types")])
     # One accepted risk fact for every document with a visible character.
     gated = docs.filter(F.regexp_replace("text", r"[\s\p{Z}]", "") != "").select(

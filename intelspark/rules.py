@@ -362,6 +362,7 @@ METRIC_NAME_ALIASES = (
     ("net profit", ("net profit", "net income", "净利润", "淨利潤")),
 )
 CANDIDATE_LIMIT = 8
+METRIC_LIMIT, RISK_LIMIT, EVENT_LIMIT = 20, 12, 12  # what the reference keeps of a document
 CANDIDATE_CHARS = 1200
 CANDIDATE_MIN_CHARS = 40
 REVIEW_ITEMS = 5

@@ -185,3 +185,19 @@ def test_tables_keep_all_rows(spark):
     assert p.html_table_rows(spark.createDataFrame([(1, page)], "id int, html string"), "html", ["id"]).count() == 60
     many = json.dumps({"rows": [{"a": i} for i in range(60)]})
     assert len(p.json_parts(spark.createDataFrame([(1, many)], "id int, t string"), "id", "t").first()["tables"][0]["rows"]) == 60
+
+
+def test_nothing_is_cut_by_default(spark):
+    row = spark.range(1).select(
+        F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("Risk factor: market risk may hurt unit "), i.cast("string"))).alias("s"),
+        F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("The company announced an acquisition of unit "), i.cast("string"))).alias("e"),
+        F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.array(F.lit("Revenue"), (i * 10).cast("string"))).alias("r"), F.array(F.lit("Item"), F.lit("2023")).alias("h"))
+    specs = [("revenue", "revenue", False)]
+    out = row.select(
+        F.size(p.risks("s", [("market", ["market"])], ["risk"], ["severe"])), F.size(p.events("e", [("deal", ["acquisition"])], ["zzz"])), F.size(p.table_metrics(F.col("h"), F.col("r"), specs)),
+        F.size(p.dedupe_metrics(p.table_metrics(F.col("h"), F.col("r"), specs))), F.size(p.clean_table(F.concat(F.array("h"), "r"))["rows"]),
+        F.size(p.risks("s", [("market", ["market"])], ["risk"], ["severe"], 12)), F.size(p.clean_table(F.concat(F.array("h"), "r"), 20)["rows"])).first()
+    assert tuple(out) == (40, 40, 40, 40, 40, 12, 20)
+    page = "".join("<table><tr><th>a</th></tr>" + "".join(f"<tr><td>{t}x{i}</td></tr>" for i in range(250)) + "</table>" for t in range(12))
+    pages = spark.createDataFrame([(1, page)], "id int, html string")
+    assert p.html_table_rows(pages, "html", ["id"]).count() == 3000 and p.html_table_rows(pages, "html", ["id"], 2, 100).count() == 200
