@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelspark.llm import decontaminate, fertility, language, licenses, minhash, packing, secrets, suffixes, toolcalls, toxicity
+from intelspark.llm import decontaminate, fertility, language, licenses, minhash, packing, secrets, suffixes, toolcalls, toxicity, trie
 from intelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte strings of earlier ones."""
     return suffixes.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations, with totals of their subtrees."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
