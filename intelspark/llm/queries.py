@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelspark.llm import decontaminate, fertility, language, licenses, minhash, packing, secrets, suffixes, toolcalls, toxicity, trie
+from intelspark.llm import alignment, decontaminate, fertility, language, licenses, minhash, packing, secrets, suffixes, toolcalls, toxicity, trie
 from intelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of all rebuilt conversations, with totals of their subtrees."""
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token alignment of every document between a byte-level and a piece vocabulary."""
+    return alignment.align(table(spark, sf_dir, "documents"))
