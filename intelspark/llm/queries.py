@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelspark.llm import alignment, decontaminate, fertility, language, licenses, minhash, packing, secrets, suffixes, toolcalls, toxicity, trie
+from intelspark.llm import alignment, decontaminate, fertility, language, licenses, minhash, packing, personal, secrets, suffixes, toolcalls, toxicity, trie
 from intelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token alignment of every document between a byte-level and a piece vocabulary."""
     return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the fixed patterns' spans and those that the span classifier adds."""
+    spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return personal.scan(table(spark, sf_dir, "documents")).withColumn("spans", spans).drop("found")

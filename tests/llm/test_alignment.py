@@ -35,7 +35,7 @@ def brute(rows):
             bytes_b = [bytes([int(b.id_to_piece(t)[3:5], 16)]) if b.is_byte(t) else b.id_to_piece(t).replace("▁", " ").encode() for t in ids_b]
             if b"".join(bytes_a) == raw == b"".join(bytes_b):
                 ends_a, ends_b = ends(bytes_a), ends(bytes_b)
-                i = j = last = 0
+                i = j = 0
                 for cut in sorted(set(ends_a) & set(ends_b)):
                     group = ([], [])
                     while i < len(ends_a) and ends_a[i] <= cut:
@@ -47,7 +47,6 @@ def brute(rows):
                     groups.append("|".join(",".join(str(ids[t]) for t in side) for ids, side in zip((ids_a, ids_b), group)))
                     links += [(ids_a[s], ids_b[t]) for s in group[0] for t in group[1]
                               if max(ends_a[s] - len(bytes_a[s]), ends_b[t] - len(bytes_b[t])) < min(ends_a[s], ends_b[t])]
-                assert last == len(raw)
         counts.update(links)
         docs.append((doc_id, links, groups, (len(ids_a), len(ids_b)) if groups else (0, 0)))
     best = {}
