@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -18,11 +20,13 @@ from intelspark.session import cut_lineage
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 PIECE = 1 << 15  # steps of a merge that one piece does
+CHUNK = 4096  # segments tokenised as one text
 CACHE = 200_000  # segments a worker remembers
 TOP = 1 << 18  # id pairs whose counts are sent to every task; all rarer ones are joined
 FLUSH = 1 << 20  # id pairs a task adds up before it sends counts
 BITS_B = 15  # an id pair is a 32-bit code: A's id, then this many bits of B's id
 KEPT = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+_LATIN = re.compile("[\\x00-\u024f]*")
 _SPACE = "▁"  # stands for a space in pieces
 
 
@@ -94,42 +98,70 @@ class Pair:
             raise ValueError("a piece spans words, or the vocabularies are too large for 32-bit pairs")
         self.size_a, self.size_b = (np.array([len(t) for t in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.lone_space = self.b.piece_to_id(_SPACE)
+        self.fast = self._fast([t for t, _ in names])
         self.known: dict[str, tuple] = {}
 
+    def _fast(self, names: list[str]):
+        """The same vocabulary for the faster of the two byte-level libraries, if its merges are in the order of its ids, else None.
+
+        Then the lowest rank of a joined token and the first applicable merge are the same choice at every step.
+        """
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        told = json.loads(self.a.to_str())
+        ids = {name: at for at, name in enumerate(names)}
+        merges = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in told["model"]["merges"]]
+        special = {t["id"] for t in told["added_tokens"]}
+        plain = told["normalizer"] is None and told["pre_tokenizer"]["type"] == "ByteLevel" and told["pre_tokenizer"]["use_regex"] and not told["pre_tokenizer"]["add_prefix_space"]
+        if not plain or merges != list(range(256, 256 + len(merges))):
+            return None
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={t: at for at, t in enumerate(self.bytes_a) if at not in special}, special_tokens={})
+
     def segments(self, segments: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, pair codes, groups as text) of each segment, None where the bytes differ from the segment's."""
         new = [s for s in segments if s not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known, new = {}, segments
-        self.known.update(zip(new, self._align(new)))
+        # Segments that end in a word can stand one after the other: their tokens are the same as alone. Letters of other
+        # scripts may be classed differently by the two libraries, and the space mark never comes back as itself.
+        together = [s for s in new if self.fast and not s[-1].isspace() and _LATIN.fullmatch(s)]
+        rest = set(new).difference(together) if len(together) < len(new) else ()
+        for at in range(0, len(together), CHUNK):
+            part = together[at : at + CHUNK]
+            text = "".join(part)
+            found = self._align(part, np.array(self.fast.encode_ordinary(text), np.int64), np.array(self.b.encode(text[1:]), np.int64))
+            rest = [*rest, *part] if found is None else rest
+            self.known.update(zip(part, found or ()))
+        for text in rest:
+            b = [self.lone_space] if text == " " else self.b.encode(text[1:])
+            found = self._align([text], np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64), np.array(b, np.int64))
+            self.known[text] = found[0] if found else None
         return [self.known[s] for s in segments]
 
-    def _align(self, new: list[str]) -> list[tuple]:
-        every_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        every_b = self.b.encode([s[1:] for s in new], num_threads=1)
-        good, ids_a, ids_b, out = [], [], [], [None] * len(new)
-        for k, (text, a, b) in enumerate(zip(new, every_a, every_b)):
-            if text == " ":
-                b = [self.lone_space]
-            raw = text.encode("utf-8", "surrogatepass")
-            if b"".join([self.bytes_a[t] for t in a]) == raw == b"".join([self.bytes_b[t] for t in b]):
-                good.append(k)
-                ids_a.append(a)
-                ids_b.append(b)
-        first_a, first_b = (np.append(0, np.cumsum([len(v) for v in ids])).astype(np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.array([t for v in ids for t in v], np.int64) for ids in (ids_a, ids_b))
-        link_a, link_b, group = merge(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
-        codes = ((flat_a[link_a] << BITS_B) + flat_b[link_b]).astype(np.int32)
-        first = np.searchsorted(link_a, first_a)
-        # First tokens of each group, on both sides.
-        opens = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
-        open_a, open_b = np.append(link_a[opens], len(flat_a)).tolist(), np.append(link_b[opens], len(flat_b)).tolist()
-        groups = np.searchsorted(open_a[:-1], first_a).tolist()
-        text_a, text_b = [str(t) for t in flat_a.tolist()], [str(t) for t in flat_b.tolist()]
-        for n, k in enumerate(good):
-            rows = [",".join(text_a[open_a[g] : open_a[g + 1]]) + "|" + ",".join(text_b[open_b[g] : open_b[g + 1]]) for g in range(groups[n], groups[n + 1])]
-            out[k] = (len(ids_a[n]), len(ids_b[n]), len(rows), codes[first[n] : first[n + 1]].tobytes(), ";".join(rows))
-        return out
+    def _align(self, segments: list[str], a: np.ndarray, b: np.ndarray) -> list[tuple] | None:
+        """Alignment of segments from the tokens of their texts joined; None if the tokens' bytes are not theirs."""
+        raw = [s.encode("utf-8", "surrogatepass") for s in segments]
+        if b"".join([self.bytes_a[t] for t in a.tolist()]) != (joined := b"".join(raw)) or b"".join([self.bytes_b[t] for t in b.tolist()]) != joined:
+            return None
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        cuts = np.append(0, np.cumsum([len(r) for r in raw]))
+        first_a, first_b = np.searchsorted(ends_a, cuts, "right"), np.searchsorted(ends_b, cuts, "right")
+        if (ends_a[first_a[1:] - 1] != cuts[1:]).any() or (ends_b[first_b[1:] - 1] != cuts[1:]).any():
+            return None
+        link_a, link_b, group = merge(ends_a, ends_b)
+        codes = ((a[link_a] << BITS_B) + b[link_b]).astype(np.int32).tobytes()
+        first = (4 * np.searchsorted(link_a, first_a)).tolist()
+        opens = np.append(True, group[1:] != group[:-1])  # first link of each group
+        open_a, open_b = np.append(link_a[opens], len(a)).tolist(), np.append(link_b[opens], len(b)).tolist()
+        groups = np.searchsorted(link_a[opens], first_a).tolist()
+        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        told = [
+            f"{text_a[i]}|{text_b[j]}" if k - i == 1 == m - j else ",".join(text_a[i:k]) + "|" + ",".join(text_b[j:m])
+            for i, k, j, m in zip(open_a[:-1], open_a[1:], open_b[:-1], open_b[1:])]
+        sizes = zip(np.diff(first_a).tolist(), np.diff(first_b).tolist())
+        return [(x, y, g1 - g0, codes[l0:l1], told[g0] if g1 - g0 == 1 else ";".join(told[g0:g1]))
+                for (x, y), g0, g1, l0, l1 in zip(sizes, groups[:-1], groups[1:], first[:-1], first[1:])]
 
 
 def cut_segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -137,6 +169,7 @@ def cut_segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     A segment begins before a space that follows a character other than white space. No token of either
     vocabulary spans such a place, and neither looks across it, so segments are tokenised on their own.
+    The distinct ones are few beside the words of a corpus.
     """
     words = pc.split_pattern(pc.fill_null(texts, ""), " ")
     coded = words.flatten().dictionary_encode()
@@ -171,17 +204,16 @@ def aligned(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str
             found = [f or (0, 0, 0, b"", "") for f in found]
             counts = np.array([f[:3] for f in found], np.int64).reshape(-1, 3)
             names = [f[4] for f in found]
-            lists = [f[3] for f in found]
+            links, begins = gather([f[3] for f in found], codes)
             out = {n: [] for n in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "n_pairs")}
             for k, text in enumerate(pc.binary_length(pc.fill_null(batch.column("text"), "")).to_pylist()):
                 mine = codes[first[k] : first[k + 1]]
                 row = (0, 0, 0, 0, "", None, 0)
                 if text and fits[mine].all():
-                    links = gather(lists, mine)[0]
-                    seen, times = np.unique(links, return_counts=True)
+                    seen, times = np.unique(own := links[begins[first[k]] : begins[first[k + 1]]], return_counts=True)
                     packed = np.concatenate([np.diff(seen, prepend=np.int32(0)), times.astype(np.int32)])
                     digest = sha256(";".join([names[c] for c in mine.tolist()]).encode()).hexdigest()
-                    row = (*counts[mine].sum(0).tolist(), len(links), digest, pa.compress(packed.tobytes(), "zstd", asbytes=True), len(seen))
+                    row = (*counts[mine].sum(0).tolist(), len(own), digest, pa.compress(packed.tobytes(), "zstd", asbytes=True), len(seen))
                 for name, value in zip(out, row):
                     out[name].append(value)
             yield {"doc_id": batch.column("doc_id"), **out}
