@@ -74,6 +74,17 @@ def merge(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray,
     return link_a, link_b, np.cumsum(closes) - closes
 
 
+_PAIRS: dict[tuple, Pair] = {}  # of this worker
+
+
+def pair_of(*vocabularies: str) -> Pair:
+    """The worker's own pair, kept over tasks: loading takes most of a second."""
+    if vocabularies not in _PAIRS:
+        _PAIRS.clear()
+        _PAIRS[vocabularies] = Pair(*vocabularies)
+    return _PAIRS[vocabularies]
+
+
 class Pair:
     """The two vocabularies, and what they make of segments; a bounded memory of segments keeps repeats cheap."""
 
@@ -196,7 +207,7 @@ def aligned(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str
     """Per row of ``docs`` (doc_id, text): the counts, the hash of the groups, and its links as packed (pair code, times) lists."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        pair = Pair(vocabulary_a, vocabulary_b)
+        pair = pair_of(vocabulary_a, vocabulary_b)
         for batch in parts(batches):
             segments, codes, first = cut_segments(batch.column("text"))
             found = pair.segments(segments)
@@ -283,9 +294,11 @@ def align(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str =
         least = r.power
     common = counts.filter(power >= least).orderBy("code").toArrow()  # at most ``top``
     codes, times = (common.column(c).to_numpy() for c in ("code", "n"))
+    b_id = F.col("code").bitwiseAND((1 << BITS_B) - 1).alias("b")
+    highest = cut_lineage(counts.groupBy(b_id).agg(F.max("n").alias("highest")))  # one row per entry of B's vocabulary at most
     best = np.zeros(1 << BITS_B, np.int64)
-    for r in counts.groupBy(F.col("code").bitwiseAND((1 << BITS_B) - 1).alias("b")).agg(F.max("n").alias("n")).collect():
-        best[r.b] = r.n
+    for r in highest.collect():
+        best[r.b] = r.highest
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -304,9 +317,8 @@ def align(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str =
     done = cut_lineage(map_partition(rows, work, ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in (*KEPT, "n_best", "count_sum"))
                                      + ", codes array<long>, times array<long>"))
     pairs = done.filter(F.size("codes") > 0).select("row", F.explode(F.arrays_zip("codes", "times")).alias("v")).select("row", "v.codes", "v.times")
-    rare = counts.filter(power < least).withColumnRenamed("code", "codes")
-    highest = F.element_at(F.lit(best.tolist()), (F.col("codes").bitwiseAND((1 << BITS_B) - 1) + 1).cast("int"))
+    rare = counts.filter(power < least).select(F.col("code").alias("codes"), "n", b_id).join(F.broadcast(highest), "b")
     more = pairs.join(rare, "codes").groupBy("row").agg(
-        F.sum(F.when(F.col("n") == highest, F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more_sum"))
+        F.sum(F.when(F.col("n") == F.col("highest"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more_sum"))
     total = [(F.col(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("n_best", "more_best"), ("count_sum", "more_sum"))]
     return done.join(more, "row", "left").select(*KEPT[1:-1], *total, "groups_sha256")

@@ -88,6 +88,7 @@ def test_small_memory(spark, monkeypatch):
     monkeypatch.setattr(alignment, "FLUSH", 8)
     monkeypatch.setattr(alignment, "PIECE", 3)
     monkeypatch.setattr(alignment, "CACHE", 5)
+    monkeypatch.setattr(alignment, "CHUNK", 2)
     rows = awkward()
     assert found(spark, rows) == brute(rows)
     assert found(spark, []) == []
