@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from intelspark import rules
+from intelspark.functions import json_tree
+from intelspark.functions.rows import spread_array
 from intelspark.functions.text import blank_to_null, col, strip
 
 
@@ -84,74 +80,11 @@ def natural_key(dataset: Column, fields: dict[str, Column], fallback: Column | N
     return F.concat(dataset, F.lit("|"), body)
 
 
-def find_text(payload: Column | str, keys: tuple[str, ...]) -> Column:
-    """First non-blank string under one of the keys at the top of a JSON object or one level down."""
-    source = col(payload)
-    paths = [f"$.{key}" for key in keys] + [f"$.*.{key}" for key in keys]
-    return F.coalesce(*[blank_to_null(strip(F.get_json_object(source, path))) for path in paths])
-
-
-def leaves(value) -> list[tuple[tuple, object]]:
-    """(path, scalar) of every leaf of parsed JSON in document order; list positions count from 1.
-
-    A stack instead of recursion: depth is whatever the data holds.
-    """
-    found, open_ = [], [((), value)]
-    while open_:
-        path, node = open_.pop()
-        inner = node.items() if isinstance(node, dict) else enumerate(node, 1) if isinstance(node, list) else None
-        if inner is None:
-            found.append((path, node))
-        else:
-            open_.extend(reversed([((*path, step), child) for step, child in inner]))
-    return found
-
-
 def find_text_deep(df: DataFrame, payload: str, keys: tuple[str, ...], out: str) -> DataFrame:
-    """Depth-first search at any depth; JSON of unknown depth needs a per-batch Python pass."""
-
-    def parse(text):
-        try:
-            every = leaves(json.loads(text)) if isinstance(text, str) else ()
-        except ValueError:
-            return None
-        return next((leaf for path, leaf in every if path and path[-1] in keys and isinstance(leaf, str) and leaf.strip()), None)
-
-    @F.pandas_udf(StringType())
-    def search(batch: pd.Series) -> pd.Series:
-        return batch.map(parse)
-
-    return df.withColumn(out, search(F.col(payload)))
-
-
-def leaf_label(path: tuple) -> str:
-    """Names joined by points, list positions in brackets; marks around a name that only decorate it go."""
-    label = ""
-    for step in path:
-        label = re.sub(r"[-_]", " ", label).strip("# ").strip(":：").strip()
-        label += f"[{step}]" if isinstance(step, int) else f".{step}" if label else step
-    return re.sub(r"[-_]", " ", label).strip("# ").strip(":：").strip()
-
-
-def leaf_lines(value) -> list[str]:
-    """``path: value`` of every leaf that has a text."""
-    texts = [(leaf_label(path), str(leaf).strip()) for path, leaf in leaves(value) if leaf is not None]
-    return [f"{label}: {text}" if label else text for label, text in texts if text]
+    """First non-blank string under one of the keys, depth first at any depth; null where the payload is not JSON."""
+    return df.withColumn(out, json_tree.find_text(payload, keys))
 
 
 def json_lines(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """One ``path: value`` row per leaf of each JSON text, numbered in document order."""
-    key_type = df.schema[key].dataType.simpleString()
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row_key, text in zip(batch[key], batch[payload]):
-                try:
-                    value = json.loads(text) if isinstance(text, str) else None
-                except ValueError:
-                    continue
-                rows.extend((row_key, pos, line) for pos, line in enumerate(leaf_lines(value)))
-            yield pd.DataFrame(rows, columns=[key, "pos", "line"])
-
-    return df.select(key, payload).mapInPandas(explode, f"{key} {key_type}, pos int, line string")
+    """One ``path: value`` row per leaf of each JSON text, numbered in document order; other texts give no row."""
+    return spread_array(df, [key], json_tree.json_lines(payload), "line", "pos")

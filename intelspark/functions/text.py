@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import json
 import unicodedata
 
 import pandas as pd
@@ -10,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The entities a clean-up without a full HTML table still has to know.
+# The entities that most texts have.
 BASIC_ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"),
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"),
 )
 CJK_CLASS = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}"
 
@@ -39,13 +41,58 @@ def squeeze(value: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(value), r"[\s\p{Z}]+", " "))
 
 
-def clean(value: Column | str, unescape: bool = True) -> Column:
+def _entity_map() -> Column:
+    """Every named HTML entity, as written after the ampersand, from the standard library's table; a constant of the plan."""
+    return F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string, string>")
+
+
+def _code_point(number: Column) -> Column:
+    """The character of a numeric entity by the rules of HTML: Windows places for 128 to 159, nothing for what is no character."""
+    moved = {n: html.unescape(f"&#{n};") for n in (0, 13, *range(128, 160))}
+    shown = F.from_json(F.lit(json.dumps(moved)), "map<string, string>")
+    outside = number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    nothing = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (F.pmod(number, F.lit(0x10000)) >= 0xFFFE)
+    made = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.coalesce(F.element_at(shown, number.cast("string")), F.when(outside, "\ufffd").when(nothing, "").otherwise(made))
+
+
+ENTITY = r"^&(?:#([0-9]++)|#[xX]([0-9a-fA-F]++)|([^\t\n\f <&#;]{1,32}+));?"
+LONGEST_BARE = 6  # letters of the longest entity that needs no semicolon
+
+
+def entities_to_text(value: Column | str) -> Column:
+    """Named, decimal and hexadecimal HTML entities as characters; a text without an ampersand is left alone.
+
+    A name must end in a semicolon, except the old ones that HTML also knows without: of these the longest that the
+    text begins with is taken, as browsers do. The text is cut before each ampersand, so all of it stays within the row.
+    """
+    text = col(value)
+    names = _entity_map()
+
+    def one(part: Column) -> Column:
+        whole, decimal, hexed, name = (F.regexp_extract(part, ENTITY, i) for i in range(4))
+        number = F.when(decimal != "", F.when(F.length(F.ltrim(decimal, F.lit("0"))) > 9, 0x110000).otherwise(decimal.try_cast("bigint"))).when(
+            hexed != "", F.when(F.length(F.ltrim(hexed, F.lit("0"))) > 8, 0x110000).otherwise(F.conv(hexed, 16, 10).cast("bigint")))
+        bare = [F.when(F.length(name) >= n, F.concat(F.element_at(names, F.left(name, F.lit(n))), F.substring(part, n + 2, 1 << 30))) for n in range(LONGEST_BARE, 1, -1)]
+        rest = F.substring(part, F.length(whole) + 1, F.lit(1 << 30))
+        exact = F.when(whole.endswith(";"), F.element_at(names, F.concat(name, F.lit(";"))))
+        return (
+            F.when(number.isNotNull(), F.concat(_code_point(number), rest))
+            .when(name != "", F.coalesce(F.concat(exact, rest), *bare, part)).otherwise(part))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "(?=&)"), one), "")).otherwise(text)
+
+
+def clean(value: Column | str, unescape: bool = True, every_entity: bool = False) -> Column:
     """Deep clean: entities, line endings, invisible marks, blanks, at most one empty line.
 
-    Plain replacements do most of the work; only runs of blanks and of line breaks need a pattern.
+    Plain replacements do most of the work; only runs of blanks and of line breaks need a pattern. ``every_entity``
+    knows the whole table of HTML, a large expression that is meant for whole columns, not for array functions.
     """
     text = F.coalesce(col(value).cast("string"), F.lit(""))
-    if unescape:
+    if every_entity:
+        text = entities_to_text(text)
+    elif unescape:
         for entity, plain in BASIC_ENTITIES:
             text = F.replace(text, F.lit(entity), F.lit(plain))
     text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
@@ -57,12 +104,6 @@ def clean(value: Column | str, unescape: bool = True) -> Column:
     return strip(text)
 
 
-@F.pandas_udf(StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
-    """Every named and numeric HTML entity; Arrow-batched, for feeds that need the full table."""
-    return text.map(html.unescape, na_action="ignore")
-
-
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility folding, which Spark has no built-in for."""

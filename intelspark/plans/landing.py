@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from intelspark.bindings import with_views
@@ -160,6 +162,26 @@ def a8(v):
     return feeds.archive_window(items, start, end).select("link", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
 
+_NEWS = "SELECT user_id AS link, date_trunc('second', ts) AS seen FROM events WHERE event_type <> 'error'"
+_NEWS_MODES = (
+    ("range", "seen BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 23:59:59'", ""), ("months", "seen BETWEEN TIMESTAMP '2023-12-31 12:00:00' AND TIMESTAMP '2024-01-31 12:00:00'", ""),
+    ("days", "seen BETWEEN TIMESTAMP '2024-01-24 12:00:00' AND TIMESTAMP '2024-01-31 12:00:00'", ""), ("latest", "true", ""), ("cut", "true", "LIMIT 5"), ("none", "true", "LIMIT 0"))
+
+
+@query("a9_news_modes", " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, link, strftime(seen, '%Y-%m-%d %H:%M:%S') AS published_at FROM (SELECT link, max(seen) AS seen FROM ({_NEWS}) WHERE {window} GROUP BY 1 ORDER BY seen DESC, link {limit})" for mode, window, limit in _NEWS_MODES))
+def a9_modes(v):
+    items = v.raw("events").filter(F.col("event_type") != "error").select(F.col("user_id").alias("link"), F.col("event_type").alias("title"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("pubDate"))
+    as_of = datetime(2024, 1, 31, 12)
+    modes = {"range": {"start_date": "2024-01-05", "end_date": "2024-01-20", "max_items": -1}, "months": {"months": 1, "max_items": -1}, "days": {"days": 7, "max_items": -1},
+             "latest": {"months": 0, "max_items": -1}, "cut": {"max_items": 5}, "none": {"max_items": 0}}
+    out = None
+    for mode, how in modes.items():
+        part = feeds.news_articles(items, items, as_of, **how).select(F.lit(mode).alias("mode"), "link", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("a11_conform_statistics", with_views("holdings", """SELECT company_id AS code, strftime(DATE '2024-03-01' + CAST(rank % 3 AS INT), '%Y-%m-%d') AS date, row_number() OVER (PARTITION BY rank % 3 ORDER BY CAST(company_id AS BIGINT)) AS rank, 'southbound' AS market FROM holdings"""))
 def a11(v):
     rows = v.holdings().select(
@@ -232,3 +254,37 @@ def n2(v):
         writer = ingest.idempotent_append(f"{place}/table", ["event_id"], empty)
         ingest.start_ingestion(once, writer, f"{place}/checkpoint-{delivery}").awaitTermination()
     return latest_by(spark.read.parquet(f"{place}/table"), "event_id", F.asc("event_type"))
+
+
+@query("n1_scheduled_batches", """WITH f AS (SELECT 'facts' AS "table", CAST(ts AS DATE) AS d, event_id, user_id, value FROM events)
+SELECT "table", strftime(d, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM f GROUP BY 1, 2
+UNION ALL SELECT 'signals', strftime(d, '%Y-%m-%d'), count(*), CAST(sum(event_id) AS BIGINT) FROM f WHERE value IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT 'users', 'all', count(*), CAST(sum(e) AS BIGINT) FROM (SELECT user_id, max(event_id) AS e FROM events GROUP BY 1)""")
+def n1(v):
+    """Landed events as a stream into three tables of one commit per batch, delivered twice; the second delivery adds nothing."""
+    import uuid
+
+    from intelspark.session import shared_folder
+    from intelspark.sinks.versions import VersionedTable, VersionedTables
+    from intelspark.streaming import ingest
+
+    spark, events = v.spark, v.raw("events")
+    place = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    fields = events.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value").schema
+    store = VersionedTables(
+        spark, place, VersionedTable("facts", fields, ("event_id", "event_type"), "ts"), VersionedTable("signals", fields, ("event_id",), "ts"),
+        VersionedTable("users", events.select("user_id", "event_id").schema, ("user_id",), update=True, order="event_id"))
+
+    def split(batch):
+        rows = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        return {"facts": rows, "signals": rows.filter(F.col("value").isNotNull()), "users": rows}
+
+    for delivery in ("first", "second"):
+        rows = ingest.landed_stream(spark, f"{v.sf_dir}/events*.parquet", events.schema)
+        ingest.start_ingestion(rows, store.writer(delivery, split), f"{place}/checkpoint-{delivery}").awaitTermination()
+    days = F.date_format("ts", "yyyy-MM-dd")
+    out = None
+    for name in ("facts", "signals", "users"):
+        part = store.read(name).groupBy(F.lit(name).alias("table"), (F.lit("all") if name == "users" else days).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+        out = part if out is None else out.unionByName(part)
+    return out

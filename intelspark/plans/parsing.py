@@ -128,7 +128,7 @@ def k7(v):
 
 @query("k8_risks", f"""WITH {SENTS}, hit AS (SELECT doc_id, pos, s, c.i, c.name FROM (SELECT * FROM sents WHERE NOT {NOISE} AND regexp_matches(lower(s), '{_alt(ANCHORS)}')) JOIN (VALUES """
        + ", ".join(f"({i}, '{n}', '{_alt(w)}')" for i, (n, w) in enumerate(CATEGORIES)) + f""") c(i, name, pat) ON regexp_matches(lower(s), pat)),
-one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, name, left(s, 180) ORDER BY pos) = 1)
+one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, name, s ORDER BY pos) = 1)
 SELECT doc_id, name AS category, left(s, 300) AS description, CASE WHEN regexp_matches(lower(s), '{_alt(HINTS)}') THEN 'high' ELSE 'medium' END AS severity FROM one
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) <= 12""")
 def k8(v):
@@ -139,7 +139,7 @@ def k8(v):
 @query("k9_events", f"""WITH {SENTS}, seeds AS (SELECT doc_id, 0 AS pos, 'Notice 2024 from ' || source AS s FROM documents UNION ALL SELECT doc_id, pos, s FROM sents),
 hit AS (SELECT doc_id, pos, s, c.i, c.name FROM (SELECT * FROM seeds WHERE NOT {NOISE} AND NOT regexp_matches(lower(s), '{_alt(NEGATIVE)}')) JOIN (VALUES """
        + ", ".join(f"({i}, '{n}', '(?i){'|'.join(w)}')" for i, (n, w) in enumerate(EVENTS)) + """) c(i, name, pat) ON regexp_matches(s, pat)),
-one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, name, left(s, 180) ORDER BY pos) = 1)
+one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, name, s ORDER BY pos) = 1)
 SELECT doc_id, name AS event_type, left(s, 300) AS summary FROM one QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) <= 12""")
 def k9(v):
     seeds = F.concat(F.array(F.concat(F.lit("Notice 2024 from "), "source")), p.sentences("text"))
@@ -277,20 +277,19 @@ def k18b(v):
     return p.candidate_paragraphs(df, "doc_id", "sections", *CAND).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
 
 
-# Five proposed facts per document: fine, a repeat of it, absent quote, low confidence, unknown paragraph.
-GATE = rf"""b AS (SELECT doc_id, {STRIP.format(clean_sql('text') + '[1:400]')} AS shown FROM documents),
+# Five proposed facts per document, each quoting its whole text: fine, a repeat of it, absent quote, low confidence, unknown paragraph.
+GATE = rf"""b AS (SELECT doc_id, {clean_sql('text')} AS shown FROM documents),
 prop AS (SELECT doc_id, shown, unnest([1,2,3,4,5]) AS pos FROM b),
 fact AS (SELECT doc_id, pos, shown, CASE WHEN pos = 5 THEN 'metric' WHEN pos = 4 THEN 'management_statement' ELSE 'risk_factor' END AS fact_type,
-  {STRIP.format("CASE WHEN pos = 3 THEN 'zzzz ' || left(shown, 30) ELSE left(shown, 30) END")} AS q, CASE WHEN pos = 4 THEN 0.5 ELSE 0.9 END AS conf FROM prop),
+  {STRIP.format("CASE WHEN pos = 3 THEN 'zzzz ' || shown ELSE shown END")} AS q, CASE WHEN pos = 4 THEN 0.5 ELSE 0.9 END AS conf FROM prop),
 res AS (SELECT *, list_filter([CASE WHEN conf < 0.6 THEN 'low_extraction_confidence' END, CASE WHEN pos = 5 THEN 'unknown_chunk_id' WHEN length(q) < 8 THEN 'missing_or_short_quote' WHEN NOT contains(lower(shown), lower(q)) THEN 'quote_not_found_in_candidate' END,
    CASE WHEN pos <> 5 AND length(q) < 20 AND q <> '' THEN 'too_generic' END], lambda x: x IS NOT NULL) AS rs FROM fact),
 done AS (SELECT doc_id, pos, fact_type, CASE WHEN pos = 2 AND len(rs) = 0 THEN 'duplicate_existing_fact' ELSE array_to_string(rs, '|') END AS reasons FROM res)"""
 
 
 def _gated(v):
-    shown = strip(F.left(clean("text"), F.lit(400)))
-    base = _docs(v).select(F.col("doc_id").alias("document_id"), shown.alias("text"), F.lit("s0:p0").alias("chunk_id"))
-    facts = base.select("document_id", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("pos"), F.left("text", F.lit(30)).alias("q")).select(
+    base = _docs(v).select(F.col("doc_id").alias("document_id"), clean("text").alias("text"), F.lit("s0:p0").alias("chunk_id"))
+    facts = base.select("document_id", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("pos"), F.col("text").alias("q")).select(
         "document_id", "pos", F.when(F.col("pos") == 5, "metric").when(F.col("pos") == 4, "management_statement").otherwise("risk_factor").alias("fact_type"),
         F.lit("Credit").alias("kind"), F.lit("Net sales").alias("name"), F.lit("1").alias("value"), F.lit(None).cast("string").alias("summary"),
         F.when(F.col("pos") == 4, 0.5).otherwise(0.9).alias("confidence"), F.when(F.col("pos") == 5, "s9:p9").otherwise("s0:p0").alias("chunk_id"),
@@ -315,7 +314,7 @@ def f14(v):
     return p.extraction_view(_gated(v))
 
 
-@query("k21_parse_batch", f"""WITH {SENTS}, hit AS (SELECT DISTINCT doc_id, c.name, left(s, 180) AS k FROM (SELECT * FROM sents WHERE NOT {NOISE} AND regexp_matches(lower(s), '{_alt(ANCHORS)}')) JOIN (VALUES """
+@query("k21_parse_batch", f"""WITH {SENTS}, hit AS (SELECT DISTINCT doc_id, c.name, s AS k FROM (SELECT * FROM sents WHERE NOT {NOISE} AND regexp_matches(lower(s), '{_alt(ANCHORS)}')) JOIN (VALUES """
        + ", ".join(f"('{n}', '{_alt(w)}')" for n, w in CATEGORIES) + """) c(name, pat) ON regexp_matches(lower(s), pat))
 SELECT d.doc_id, 'text' AS parser_name, 'success' AS parse_status, CAST(least(count(hit.doc_id), 12) AS INT) AS risk_factor_count FROM documents d LEFT JOIN hit ON hit.doc_id = d.doc_id WHERE trim(d.text) <> '' GROUP BY 1""")
 def k21(v):
@@ -324,6 +323,43 @@ def k21(v):
     return out.filter(F.col("parser_name") == "text").select("doc_id", "parser_name", "parse_status", F.size("risk_factors").alias("risk_factor_count"))
 
 
+# Every source at once: pages with a table of figures, documents, and JSON reports, a tenth of which is cut off.
+_REPORT = """'report title' || chr(10) || 'Annual report ' || n || chr(10) || chr(10) || 'management discussion' || chr(10) || said || chr(10) || chr(10)
+ || 'financials' || chr(10) || 'item: Total revenue' || chr(10) || 'FY2024: HK$' || n || ' million' || chr(10) || 'item: Headcount' || chr(10) || chr(10) || 'meta' || chr(10) || 'source name: ' || event_type || chr(10) || 'tags[1]: a' || chr(10) || 'tags[3]: True'"""
+ALL_SOURCES = rf"""WITH docs0 AS (SELECT doc_id, {clean_sql('text')} AS body FROM documents),
+rep AS (SELECT event_id AS n, event_type, 'Demand grows with our strategy. We see opportunity number ' || event_id || '.' AS said FROM events),
+told AS (SELECT n, said, {_REPORT} AS text FROM rep)
+SELECT 'document' AS kind, doc_id AS id, CASE WHEN body = '' THEN 'fallback' ELSE 'text' END AS parser_name, CASE WHEN body = '' THEN 'failed' ELSE 'success' END AS parse_status, CAST(0 AS INT) AS tables, '' AS metrics,
+ CAST(length(body) AS INT) AS text_chars, NULL AS discussion, NULL AS rag_text FROM docs0
+UNION ALL SELECT 'page', page_id, 'html', 'success', CAST(len(regexp_extract_all({_drop_sql()}, '(?is)<table\b[^>]*>.*?</table\s*>')) + 1 AS INT), 'revenue|HK$' || page_id || ' million|FY2024', NULL, NULL, NULL FROM pages
+UNION ALL SELECT 'report', n, 'json', CASE WHEN n % 10 = 0 THEN 'failed' ELSE 'success' END, CAST(CASE WHEN n % 10 = 0 THEN 0 ELSE 1 END AS INT), CASE WHEN n % 10 = 0 THEN '' ELSE 'revenue|HK$' || n || ' million|FY2024' END,
+ CAST(CASE WHEN n % 10 = 0 THEN 0 ELSE length(text) END AS INT), CASE WHEN n % 10 <> 0 THEN said END, CASE WHEN n % 10 = 0 THEN '' ELSE 'Parsed text:' || chr(10) || text || chr(10) || chr(10) || 'Management discussion summary: ' || said || chr(10) || chr(10)
+ || 'Management discussion highlights:' || chr(10) || '- Demand grows with our strategy.' || chr(10) || '- We see opportunity number ' || n || '.' || chr(10) || chr(10)
+ || 'Extracted metrics:' || chr(10) || '- revenue: HK$' || n || ' million (FY2024) | item: Total revenue | FY2024: HK$' || n || ' million' || chr(10) || chr(10)
+ || 'Tables:' || chr(10) || 'financials:' || chr(10) || '- item: Total revenue; FY2024: HK$' || n || ' million' || chr(10) || '- item: Headcount' END FROM told"""
+
+
+@query("k21_parse_all_sources", ALL_SOURCES)
+def k21b(v):
+    n = F.col("event_id").cast("string")
+    report = F.concat(
+        F.lit('{"report_title":"Annual report '), n, F.lit('","management_discussion":"Demand grows with our strategy. We see opportunity number '), n,
+        F.lit('.","financials":[{"item":"Total revenue","FY2024":"HK$'), n, F.lit(' million"},{"item":"Headcount"}],"meta":{"source_name":"'), F.col("event_type"), F.lit('","tags":["a",null,true]}}'))
+    cut = F.when(F.col("event_id") % 10 == 0, F.left(report, F.length(report) - 1)).otherwise(report)
+    figures = F.concat(F.lit("<table><tr><th>Item</th><th>FY2024</th></tr><tr><td>Total revenue</td><td>HK$"), F.col("page_id").cast("string"), F.lit(" million</td></tr></table>"))
+    none = F.lit(None).cast("string")
+    rows = (
+        _docs(v).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("content"), none.alias("media"), none.alias("title"))
+        .unionByName(v.texts("pages", "page_id").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.concat("html", figures).alias("content"), none.alias("media"), none.alias("title")))
+        .unionByName(v.raw("events").select(F.lit("report").alias("kind"), F.col("event_id").alias("id"), cut.alias("content"), F.lit("application/json").alias("media"), none.alias("title"))))
+    out = p.parse_batch(rows, ["kind", "id"], "content", "media", "title", "multisource-v2")
+    metrics = F.array_join(F.transform("metrics", lambda m: F.concat_ws("|", m["name"], m["value"], m["period"])), ";")
+    report_only = lambda c: F.when(F.col("kind") == "report", c)
+    return out.select(
+        "kind", "id", "parser_name", "parse_status", F.size("tables").alias("tables"), metrics.alias("metrics"), F.when(F.col("kind") != "page", F.length("text")).alias("text_chars"),
+        report_only(F.col("management_discussion.summary")).alias("discussion"), report_only(F.col("rag_text")).alias("rag_text"))
+
+
 @query("m2_parse_evaluation", """SELECT doc_id, contains(lower(text), 'license') OR NOT contains(lower(text), 'licensed') AS passed FROM documents""")
 def m2(v):
     from intelspark.operators.evaluate import expected_found

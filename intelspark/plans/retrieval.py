@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from intelspark.bindings import with_views
 from intelspark.operators import retrieval as r
+from intelspark.operators import search
 from intelspark.plans.registry import query
+from intelspark.session import cut_lineage
 
 TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{Z}]')"
 CHUNKS = f"""tok AS (SELECT doc_id, {TOKENS} AS t FROM documents),
@@ -110,6 +112,38 @@ def e9(v):
     return r.vector_search(joined, _query_vector(v), "chunk_id").select("chunk_id", "source", "lang", F.round("score", 6).alias("score"))
 
 
+QUESTION_TABLE = r"""WITH q AS (SELECT item_id, lower(text) AS t, CASE WHEN item_id % 3 = 0 THEN 'src1' END AS source, CASE WHEN item_id % 4 = 1 THEN TIMESTAMP '2024-01-01' + to_days(300) END AS date_to FROM benchmark),
+terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(t, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]|[A-Za-z0-9]{2,}')) AS term FROM q),
+hit AS (SELECT term, doc_id FROM (SELECT DISTINCT term FROM terms) JOIN (SELECT doc_id, lower(text) AS low FROM documents) ON contains(low, term)),
+sc AS (SELECT item_id, doc_id, count(*) / (SELECT count(*) FROM terms n WHERE n.item_id = terms.item_id)::DOUBLE AS score FROM terms JOIN hit USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS INT) AS rank FROM sc JOIN q USING (item_id) JOIN documents d USING (doc_id)
+WHERE (q.source IS NULL OR d.source = q.source) AND (date_to IS NULL OR TIMESTAMP '2024-01-01' + to_days(CAST(doc_id AS INT)) <= date_to) QUALIFY rank <= 6"""
+
+
+@query("l9_question_table", QUESTION_TABLE)
+def l9c(v):
+    # Benchmark passages are the questions; some are restricted to a source, some to a time.
+    day = lambda n: F.timestamp_add("DAY", n, F.lit("2024-01-01").cast("timestamp"))
+    asked = v.raw("benchmark").select(
+        "item_id", "text", F.when(F.col("item_id") % 3 == 0, "src1").alias("source"), F.when(F.col("item_id") % 4 == 1, day(F.lit(300))).alias("date_to"))
+    docs = v.texts("documents", "doc_id").withColumn("event_time", day(F.col("doc_id").cast("int")))
+    postings = cut_lineage(search.word_postings(docs, "doc_id", "text"))
+    return search.lexical_search_table(asked, postings, docs, "doc_id", question="text", question_key="item_id")
+
+
+VECTOR_TABLE = """WITH q AS (SELECT vec_id AS question_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0),
+sim AS (SELECT question_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS s FROM embeddings, q),
+top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 12) DESC, vec_id) AS k FROM sim)
+SELECT question_id, vec_id, round(s, 6) AS score FROM top WHERE k <= 6 AND s >= 0.15"""
+
+
+@query("l10_vector_table", VECTOR_TABLE)
+def l10b(v):
+    vectors = v.raw("embeddings").select("vec_id", "embedding")
+    asked = vectors.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "question_id")
+    return search.vector_search_table(asked, vectors, "vec_id", "embedding", "question_id").select("question_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 EVID = "ev AS (SELECT conv_id AS question_id, turn AS chunk_id, text AS chunk_text, (length(text) % 10) / 10.0::DOUBLE AS score, role AS record_key FROM conversations)"
 
 

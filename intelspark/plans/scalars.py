@@ -57,7 +57,7 @@ def s1(v):
  replace(replace(replace(replace(replace(replace(replace(text || chr(13) || chr(10) || ' &nbsp;&lt;end&gt;  ', '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
  chr(160), ' ', 'g'), '\r\n?', chr(10), 'g'), '[ \t\f\x0B]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM documents""")
 def s2(v):
-    return v.raw("documents").select("doc_id", text.clean(F.concat("text", F.lit("\r\n &nbsp;&lt;end&gt;  "))).alias("text"))
+    return v.raw("documents").select("doc_id", text.clean(F.concat("text", F.lit("\r\n &nbsp;&lt;end&gt;  ")), every_entity=True).alias("text"))
 
 
 @query("s3_coerce_number", f"""WITH {LINES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intelspark.functions.times import loose_timestamp
-from intelspark.sinks.merge import upsert
+from intelspark.operators.serving import latest_by
+from intelspark.sinks.merge import new_rows, upsert
 
 
 def conform(rows: DataFrame, json_fields=None, times=(), counts=()) -> DataFrame:
@@ -58,14 +59,30 @@ TABLES = (
 )
 
 
+ARRIVAL = "_arrival"  # column that tells which of several rows of a key came last
+
+
+def landed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A landed table with its rows' arrival: time and name of the file, then the place in it."""
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    return spark.read.parquet(path).select("*", place.alias(ARRIVAL))
+
+
 def sync_table(spec: TableSpec, landed: DataFrame, target: DataFrame, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """New state of a serving table and its one-row summary (scanned, inserted, skipped)."""
+    """New state of a serving table and its one-row summary (scanned, inserted, skipped).
+
+    Of several landed rows of a key the last arrived counts for a table that is updated, the first for one that is
+    not; without an arrival column, content decides. Null keys are keys, in the state and in the counts.
+    """
     present = lambda names: [n for n in names if n in landed.columns]
     rows = conform(since(landed, run_id), {k: v for k, v in spec.json_fields.items() if k in landed.columns}, present(spec.times), present(spec.counts))
-    merged = upsert(target, rows, list(spec.keys), update=spec.update)
+    keys = list(spec.keys)
+    once = rows
+    if ARRIVAL in rows.columns:
+        once = latest_by(rows, keys, F.desc(ARRIVAL) if spec.update else F.asc(ARRIVAL)).drop(ARRIVAL)
+    merged = upsert(target, once, keys, update=spec.update)
     summary = rows.agg(F.count(F.lit(1)).alias("scanned")).select(
-        F.lit(spec.name).alias("table"), "scanned",
-        rows.select(*spec.keys).distinct().join(target.select(*spec.keys), list(spec.keys), "left_anti").agg(F.count(F.lit(1))).scalar().alias("inserted"))
+        F.lit(spec.name).alias("table"), "scanned", new_rows(target, once.select(*keys), keys).agg(F.count(F.lit(1))).scalar().alias("inserted"))
     return merged, summary.withColumn("skipped", F.col("scanned") - F.col("inserted"))
 
 
@@ -77,8 +94,9 @@ def sync(spark: SparkSession, landed: str, serving: str, version: str, previous:
     """
     summaries = None
     for spec in tables:
-        source = spark.read.parquet(f"{landed}/{spec.name}")
-        target = spark.read.parquet(f"{serving}/{previous}/{spec.name}") if previous else conform(source, spec.json_fields, spec.times, spec.counts).limit(0)
+        source = landed_rows(spark, f"{landed}/{spec.name}")
+        empty = conform(source.drop(ARRIVAL), {k: v for k, v in spec.json_fields.items() if k in source.columns}, [t for t in spec.times if t in source.columns], [c for c in spec.counts if c in source.columns]).limit(0)
+        target = spark.read.parquet(f"{serving}/{previous}/{spec.name}") if previous else empty
         merged, summary = sync_table(spec, source, target, run_id)
         merged.write.mode("overwrite").parquet(f"{serving}/{version}/{spec.name}")
         summaries = summary if summaries is None else summaries.unionByName(summary)

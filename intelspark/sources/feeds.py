@@ -6,6 +6,8 @@ sources; only concatenated JSON and unknown encodings take an Arrow-batched Pyth
 
 from __future__ import annotations
 
+from calendar import monthrange
+from datetime import datetime, timedelta
 import json
 import re
 from collections.abc import Iterator
@@ -192,6 +194,42 @@ def archive_window(items: DataFrame, start, end, date: str = "pubDate", link: st
     return latest_by(dated, link, F.desc("published_at"), F.asc("title")).orderBy(F.desc("published_at"), F.asc(link))
 
 
+def news_articles(archive: DataFrame, latest: DataFrame, as_of: datetime, months: int | None = None, days: int | None = None, start_date: str | None = None,
+                  end_date: str | None = None, max_items: int = 1000, date: str = "pubDate", link: str = "link") -> DataFrame:
+    """News of one window, newest first: an explicit range of days, the last months, the last days, or the latest feed.
+
+    A range covers its last day up to 23:59:59 and excludes ``months`` and ``days``. Months are counted back from ``as_of`` with
+    the day clamped to the month's end; none of them, or 0 months, reads ``latest`` instead of ``archive``. Each mode is one
+    bounded predicate on the archive. ``max_items`` 0 gives nothing, a negative one everything.
+    """
+    given = [(d or "").strip() for d in (start_date, end_date)]
+    if any(given):
+        if not all(given):
+            raise ValueError("start_date and end_date must be given together")
+        if months is not None or days is not None:
+            raise ValueError("a range of dates excludes months and days")
+        try:
+            start, end = (datetime.strptime(d, "%Y-%m-%d") for d in given)
+        except ValueError:
+            raise ValueError("start_date and end_date must be written YYYY-MM-DD") from None
+        end += timedelta(days=1) - timedelta(seconds=1)
+    elif months is not None:
+        if months < 0:
+            raise ValueError("months must not be negative")
+        year, month = divmod(as_of.year * 12 + as_of.month - 1 - months, 12)
+        start, end = as_of.replace(year=year, month=month + 1, day=min(as_of.day, monthrange(year, month + 1)[1])), as_of
+    elif days is not None:
+        if days <= 0:
+            raise ValueError("days must be positive")
+        start, end = as_of - timedelta(days=days), as_of
+    if any(given) or months or days is not None:
+        rows = archive_window(archive, start, end, date, link)
+    else:
+        dated = latest.withColumn("published_at", publication_time(date))
+        rows = latest_by(dated, link, F.desc_nulls_last("published_at"), F.asc("title")).orderBy(F.desc_nulls_last("published_at"), F.asc(link))
+    return rows if max_items < 0 else rows.limit(max_items)
+
+
 def market_of_file(name: Column) -> Column:
     return (
         F.when(name.contains("北向"), "northbound").when(name.contains("沪股通"), "shanghai_connect")

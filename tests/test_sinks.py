@@ -22,3 +22,19 @@ def test_sync_writes_a_new_version(spark, tmp_path):
     assert (first["scanned"], first["inserted"]) == (2, 2) and (again["scanned"], again["inserted"], again["skipped"]) == (1, 0, 1)
     state = spark.read.parquet(str(tmp_path / "serving" / "v2" / "runs"))
     assert state.count() == 2 and state.select(F.year("started_at").alias("y")).first()["y"] == 2024
+
+
+def test_the_last_row_of_a_run_wins_and_null_keys_count_once(spark, tmp_path):
+    spec = TableSpec("runs", ("run_id",), True)
+    for run, status in (("r1", "2 finished"), (None, "x")):
+        spark.createDataFrame([(run, "1 started")], "run_id string, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "landed" / "runs"))
+        spark.createDataFrame([(run, status)], "run_id string, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "landed" / "runs"))
+    first = sync(spark, str(tmp_path / "landed"), str(tmp_path / "serving"), "v1", tables=(spec,)).first()
+    assert (first["scanned"], first["inserted"], first["skipped"]) == (4, 2, 2)
+    state = spark.read.parquet(str(tmp_path / "serving" / "v1" / "runs"))
+    assert {(r.run_id, r.status) for r in state.collect()} == {("r1", "2 finished"), (None, "x")}
+    again = sync(spark, str(tmp_path / "landed"), str(tmp_path / "serving"), "v2", previous="v1", tables=(spec,)).first()
+    assert again["inserted"] == 0 and spark.read.parquet(str(tmp_path / "serving" / "v2" / "runs")).count() == 2
+    kept = TableSpec("runs", ("run_id",))
+    sync(spark, str(tmp_path / "landed"), str(tmp_path / "serving"), "v3", tables=(kept,))
+    assert {r.status for r in spark.read.parquet(str(tmp_path / "serving" / "v3" / "runs")).collect()} == {"1 started"}
