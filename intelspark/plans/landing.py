@@ -288,3 +288,80 @@ def n1(v):
         part = store.read(name).groupBy(F.lit(name).alias("table"), (F.lit("all") if name == "users" else days).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ------------------------------------------------------------------ landed files, read by the feed readers
+
+
+def _landed(v, lines, each: bool = False) -> str:
+    """A new folder of text files with the given lines; ``each`` makes every line a file of its own."""
+    import uuid
+
+    from intelspark.session import shared_folder
+
+    path = f"{shared_folder(v.spark)}/landed-{uuid.uuid4().hex}"
+    (lines.write.option("maxRecordsPerFile", 1) if each else lines.write).text(path)
+    return path
+
+
+@query("a2_concatenated_news", "SELECT event_type || ' ' || event_id AS title, 'https://x.example/' || event_id AS url, '2024-01-01' AS published, event_type AS kind FROM events")
+def a2(v):
+    item = F.struct(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("title"), F.concat(F.lit("https://x.example/"), F.col("event_id").cast("string")).alias("url"),
+                    F.lit("2024-01-01").alias("publishDate"), F.col("event_type").alias("newsContentType"))
+    # Three shapes, one value after another; every third item comes twice.
+    k = F.col("event_id") % 3
+    listed = F.when(k == 0, F.to_json(F.struct(F.array(item, item).alias("results")))).when(k == 1, F.to_json(F.struct(F.struct(F.array(item).alias("results")).alias("data")))).otherwise(F.to_json(item))
+    path = _landed(v, v.raw("events").select(listed.alias("value")).repartition(4))
+    return feeds.concatenated_news(v.spark, path).select("title", "url", "published", "kind")
+
+
+@query("a4_statistics_table", "SELECT n_name AS table_title, s_suppkey AS key, s_acctbal AS figure FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def a4(v):
+    rows = v.raw("supplier").join(v.raw("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    tables = rows.groupBy("n_name").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("figure"))).alias("dataSet"))
+    path = _landed(v, tables.select(F.to_json(F.struct(F.struct(F.col("n_name").alias("title")).alias("header"), "dataSet")).alias("value")), each=True)
+    return feeds.statistics_table(v.spark, path, "struct<key: bigint, figure: double>")
+
+
+@query("a7_rss_items", "SELECT 'Item ' || event_id || ' & more' AS title, 'https://x.example/' || event_id AS link, event_type AS description, true AS dated FROM events")
+def a7(v):
+    n = F.col("event_id").cast("string")
+    item = F.concat(F.lit("<item><title> Item "), n, F.lit(" &amp; more</title><link>https://x.example/"), n, F.lit("</link><pubDate>"), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"),
+                    F.lit(" +0800</pubDate><description><![CDATA["), F.col("event_type"), F.lit("]]></description></item>"))
+    # Five hundred items a file.
+    files = v.raw("events").groupBy(F.floor(F.col("event_id") / 500).alias("file")).agg(F.array_join(F.collect_list(item), "").alias("items"))
+    path = _landed(v, files.select(F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value")), each=True)
+    return feeds.rss_items(v.spark, path).select("title", "link", "description", F.col("published_at").isNotNull().alias("dated"))
+
+
+@query("a12_seed_directory", "SELECT c_name AS name, lower(c_mktsegment) AS segment FROM customer")
+def a12_files(v):
+    seeds = v.raw("customer").groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_name").alias("name"), F.array(F.lower("c_mktsegment")).alias("segments"))).alias("s"))
+    path = _landed(v, seeds.select(F.to_json("s").alias("value")), each=True)
+    return feeds.seed_directory(v.spark, path, "name string, segments array<string>").select("name", F.get("segments", 0).alias("segment"))
+
+
+@query("a15_announcement_cap", "SELECT 'a' || c_custkey AS announcement_id, c_name AS sec_name, 1700000000000 + c_custkey * 1000 AS at FROM customer ORDER BY c_custkey DESC LIMIT 40")
+def a15_files(v):
+    row = F.struct(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("announcementId"), F.col("c_name").alias("secName"), (F.lit(1700000000000) + F.col("c_custkey") * 1000).alias("announcementTime"))
+    landed = v.raw("customer").groupBy("c_nationkey").agg(F.collect_list(row).alias("announcements"))
+    path = _landed(v, landed.select(F.to_json(F.struct("announcements")).alias("value")), each=True)
+    return feeds.announcements(v.spark, path, 40).select(F.col("announcementId").alias("announcement_id"), F.col("secName").alias("sec_name"), F.col("announcementTime").alias("at"))
+
+
+@query("b13_exported_json", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def b13(v):
+    import uuid
+
+    from intelspark.session import shared_folder
+
+    rows = v.raw("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = f"{shared_folder(v.spark)}/export-{uuid.uuid4().hex}"
+    merge.export_json(rows, path)
+    return v.spark.read.schema(rows.schema).json(path)
+
+
+@query("c20_landed_documents", "SELECT sha256(text || chr(10)) AS record_key, 'document' AS record_type, strlen(text) + 1 AS length FROM benchmark")
+def c20_files(v):
+    path = _landed(v, v.raw("benchmark").select(F.col("text").alias("value")), each=True)
+    return feeds.document_facts(v.spark, path, "landed", "benchmark").select("record_key", "record_type", "length")
