@@ -5,13 +5,14 @@ minima and maxima of three permutations). Pairs come from two passes, and both a
 
 1. in each bucket, sorted by the values that follow the band, neighbours and the head of each run are
    paired: a number of pairs linear in the rows, enough to join most of a large group of copies;
-Before both, documents that cannot be linked at all leave: their share of shingles that no other document in
-any bucket has is too large. The same count bounds the similarity of each pair in the second pass.
-
 2. in buckets that still hold several components, the rows outside the bucket's largest component are
    compared, block by block, with all its rows by signature; rows of different components whose
    estimate lies within five deviations of the threshold fall into one group. Inside a group, the rows
-   outside its largest component meet all others with their full sets, again block by block.
+   outside its largest component meet all others with their full sets, again block by block; how many of a
+   document's shingles any other of these groups' documents has bounds its similarity first.
+
+Full sets are made and moved only for documents that the sketches leave in a pair of the first pass or in a
+group of the second.
 
 So a large group of copies is joined by a linear number of pairs, while no bucket-mates of different
 components are left untested. Pairs of the second pass exist only inside a block's task, which returns
@@ -195,13 +196,19 @@ def _stars(a: np.ndarray, b: np.ndarray) -> dict:
     return {"a": nodes[root[led]], "b": nodes[led]}
 
 
+def _stars_of_all(found: list[dict]) -> dict:
+    """One set of stars from those of many blocks, each of which has no more links than rows."""
+    none = np.zeros(0, np.int64)
+    return _stars(*(np.concatenate([none, *[f[c] for f in found]]) for c in "ab"))
+
+
 def _near(odd: tuple, every: tuple, floor: float, num: int, den: int) -> np.ndarray:
     """Which rows of ``odd`` and ``every`` are of different components and could be linked, by sketches and sizes."""
-    (_, ri, ni, ci, si), (_, rj, nj, cj, sj) = odd, every
+    (_, ri, ni, si, *ci), (_, rj, nj, sj, *cj) = odd, every
     same = np.zeros((len(ri), len(rj)), np.int32)
     for at in range(0, si.shape[1], 16):
         same += (si[:, None, at : at + 16] == sj[None, :, at : at + 16]).sum(2, dtype=np.int32)
-    most = np.minimum(ci[:, None], cj[None, :])  # of shingles in common
+    most = np.minimum((ci or [ni])[0][:, None], (cj or [nj])[0][None, :])  # of shingles in common
     return (same >= floor * si.shape[1]) & (den * most >= num * (ni[:, None] + nj[None, :] - most)) & (ri[:, None] != rj[None, :])
 
 
@@ -216,17 +223,16 @@ def _outlier_groups(members: DataFrame, labels: DataFrame, sketches: DataFrame,
              .withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
              .withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), "blocks")).otherwise(0).cast("int")))
     whole = dealt.groupBy("band", "block").agg(
-        F.sort_array(F.collect_list(F.struct("doc_id", "root", "n", "common", "sketch"))).alias("all"), F.first("main").alias("main"))
+        F.sort_array(F.collect_list(F.struct("doc_id", "root", "n", "sketch"))).alias("all"), F.first("main").alias("main"))
     out = whole.withColumn("odd", F.filter("all", lambda r: r["root"] != F.col("main"))).filter(F.size("odd") > 0).select("band", "odd")
 
     def work(batch: pa.RecordBatch) -> dict:
-        a, b = [], []
+        found = []
         for odd, every in zip(batch.column("odd"), batch.column("all")):
             odd, every = _columns(odd), _columns(every)
             x, y = np.nonzero(_near(odd, every, floor, num, den))
-            a.append(odd[0][x])
-            b.append(every[0][y])
-        return _stars(np.concatenate(a), np.concatenate(b))
+            found.append(_stars(odd[0][x], every[0][y]))
+        return _stars_of_all(found)
 
     return map_batches(out.join(whole.select("band", "all"), "band"), work, "a long, b long").distinct()
 
@@ -250,15 +256,16 @@ def _outlier_links(groups: DataFrame, labels: DataFrame, sketches: DataFrame, fu
     every = dealt.groupBy("near", "block").agg(held.alias("all"), F.first("main").alias("main")).drop("block")
 
     def work(batch: pa.RecordBatch) -> dict:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = []
         for odd, rows, main in zip(batch.column("odd"), batch.column("all"), batch.column("main").to_pylist()):
-            left, right = _columns(odd), _columns(rows)
+            left, right = _columns(odd, "common"), _columns(rows, "common")
             # Two rows outside the largest component meet twice; the first time is enough.
             near = _near(left, right, floor, num, den) & ((right[1] == main)[None, :] | (left[0][:, None] < right[0][None, :]))
             some, others = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
             if not len(some):
                 continue
             mine, theirs = _items(odd, some), _items(rows, others)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             known, code = np.unique(np.concatenate(theirs), return_inverse=True)
             ends = np.cumsum([len(t) for t in theirs])
             for i, items in zip(some.tolist(), mine):
@@ -269,7 +276,8 @@ def _outlier_links(groups: DataFrame, labels: DataFrame, sketches: DataFrame, fu
                 linked = near[i, others] & (den * common >= num * (left[2][i] + right[2][others] - common))
                 b.append(right[0][others[linked]])
                 a.append(np.full(len(b[-1]), left[0][i]))
-        return _stars(np.concatenate(a), np.concatenate(b))
+            found.append(_stars(np.concatenate(a), np.concatenate(b)))
+        return _stars_of_all(found)
 
     return map_batches(odd.join(every, "near"), work, "a long, b long").distinct()
 
@@ -279,10 +287,10 @@ def _items(rows: pa.ListScalar, some: np.ndarray) -> list[np.ndarray]:
     return [np.frombuffer(values[i].as_py(), U64) for i in some.tolist()]
 
 
-def _columns(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
+def _columns(rows: pa.ListScalar, *more: str) -> tuple[np.ndarray, ...]:
     values = rows.values
     sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), np.uint8).reshape(len(values), -1)
-    return *(values.field(c).to_numpy() for c in ("doc_id", "root", "n", "common")), sketch
+    return *(values.field(c).to_numpy() for c in ("doc_id", "root", "n")), sketch, *(values.field(c).to_numpy() for c in more)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -301,22 +309,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = cut_lineage(_signed(source, words, count))
     classes = cut_lineage(base.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
-    heads = cut_lineage(base.join(classes, "class").filter("doc_id = rep").dropDuplicates(["class"]).select("doc_id", "sketch", "bands"))
+    heads = cut_lineage(base.join(classes, "class").filter("doc_id = rep").dropDuplicates(["class"]).select("doc_id", "n", "sketch", "bands"))
     following = F.transform("bands", lambda _, i: F.element_at("bands", (i + 1) % count + 1))
     rows = (heads.select("doc_id", F.explode(F.arrays_zip("bands", following.alias("following"))).alias("x"))
             .select("doc_id", F.col("x.bands").alias("band"), F.col("x.following").alias("next")))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("band")
     members = cut_lineage(rows.join(shared, "band"))
-    full = _full_sets(source, members.select("doc_id").distinct(), words)
-    counted = _common(full).filter(den * F.col("common") >= num * F.col("n"))
-    sketches = cut_lineage(heads.select("doc_id", "sketch").join(counted, "doc_id"))
-    members = cut_lineage(members.join(sketches.select("doc_id"), "doc_id"))
+    sketches = heads.select("doc_id", "n", "sketch")
 
-    first = cut_lineage(_confirmed(_estimated(_near_pairs(members), sketches, floor), full, num, den))
+    pairs = cut_lineage(_estimated(_near_pairs(members), sketches, floor))
+    both = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    first = cut_lineage(_confirmed(pairs, _full_sets(source, both, words), num, den))
     labels = components(first).select(F.col("node").alias("doc_id"), "root")
     near = components(_outlier_groups(members.select("band", "doc_id"), labels, sketches, floor, num, den))
     groups = near.select(F.col("node").alias("doc_id"), F.col("root").alias("near"))
-    second = _outlier_links(groups, labels, sketches, full, floor, num, den)
+    full = _full_sets(source, groups.select("doc_id"), words)
+    counted = _common(full).filter(den * F.col("common") >= num * F.col("n")).select("doc_id", "common")
+    second = _outlier_links(groups, labels, sketches.join(counted, "doc_id"), full, floor, num, den)
     final = components(first.unionByName(second)).select(F.col("node").alias("rep"), "root")
     return (base.join(classes, "class", "left").join(final, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
