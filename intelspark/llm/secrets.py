@@ -26,7 +26,22 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SHORTEST = 16  # characters of a run that the models judge
 SAMPLE = 2000  # documents that the models learn from
 MADE = 3000  # random strings made for the model of random strings, beside those the patterns label
+ORDINARY = 9000  # identifiers, paths and rows of marks made for the model of ordinary strings
 TOTAL, MEAN = 12.0, 0.6  # least log-likelihood ratio of a run, and per character
+# Words that identifiers and paths are made of, and orders of keys that people type.
+WORDS = (
+    "access account action active add address admin agent alert all api app apply array as async auth author auto back base batch bean bin block body book bool box branch buffer build button by "
+    "cache call case cell change chart check child class clear click client close cloud code collection color column command common component concurrent config connect constant content context control core count create "
+    "current custom data database date default delete description detail device dialog dictionary directory disable display docs document domain down download edit element email enable end engine entry error event example "
+    "execute export factory feature field file filter find first float folder font form format frame from function get global graph group guide handler hash header height help hidden history home http icon id identifier "
+    "image import index info init input insert int interface internal item java job json key label language last layout length level library like line link list listener load local location log login main manager map "
+    "master match menu message method mode model module month name network new next node number object option order output package page panel parent password path people phone play point pool position post process "
+    "product profile project property provider public query queue read record redirect ref region release remote report request reset resource response result return role root row rule run save scale scan schema "
+    "screen script search section security select send server service session set shared show size sort source start state status step store stream string style submit support sync system table target task test text "
+    "thread time title token tool top total track tree type unit update upload url user util valid value version view watch web widget width window word work write xml year zone"
+).split()
+SHORT = "API AWS CPU CSS CSV DB DNS GPU HTML HTTP HTTPS ID IO IP JSON JVM OS PDF REST SDK SQL SSH SSL TCP TLS UI URI URL UTF UUID VM XML YAML".split()
+TYPED = ("abcdefghijklmnopqrstuvwxyz", "qwertyuiop", "asdfghjkl", "zxcvbnm", "01234567890123456789", "qwertyuiopasdfghjklzxcvbnm")
 _SIZE = len(ALPHABET)
 _CODE = np.full(256, -1, np.int16)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(_SIZE)
@@ -42,22 +57,61 @@ def runs(raw: bytes) -> list[tuple[int, int]]:
     return list(zip(starts[long].tolist(), ends[long].tolist()))
 
 
-def base_spans(text: str, raw: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start, index of the kind, end) of the fixed patterns in code points, in order."""
+def places(raw: bytes) -> np.ndarray | None:
+    """Code points before each byte of a text and before its end; None where both count alike."""
+    data = np.frombuffer(raw, np.uint8)
+    if not (data >= 128).any():
+        return None
+    return np.append(0, np.cumsum((data & 0xC0) != 0x80))
+
+
+def base_spans(text: str, raw: bytes, found: list[tuple[int, int]], at: np.ndarray | None) -> list[tuple[int, int, int]]:
+    """(start, index of the kind, end) of the fixed patterns in code points, in order; ``at`` are the ``places`` of ``raw``."""
     out = []
     lower = text.lower()
     if any(k in lower for k in KEYWORDS):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     for a, b in found:
         run = raw[a:b].decode()
+        first = a if at is None else int(at[a])
         for kind, pattern in ((1, ACCESS), (2, HEX)):
             for m in pattern.finditer(run):
                 if m.end() - m.start() >= LEAST[KINDS[kind]]:
-                    at = len(raw[:a].decode("utf-8", "surrogatepass")) + m.start()
-                    out.append((at, kind, at + m.end() - m.start()))
+                    out.append((first + m.start(), kind, first + m.end()))
     return sorted(out)
 
 
+def made_ordinary(n: int = ORDINARY, seed: int = 12) -> list[str]:
+    """Identifiers in the usual spellings, paths, numbered names, orders of keys and rows of one character."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        words = [WORDS[i] for i in rng.integers(0, len(WORDS), rng.integers(2, 6))]
+        if k % 5 == 0:
+            words[int(rng.integers(len(words)))] = SHORT[int(rng.integers(len(SHORT)))]
+        number = str(int(rng.integers(1, 10 ** int(rng.integers(1, 6)))))
+        form = k % 9
+        if form < 2:
+            text = words[0] + "".join(w[0].upper() + w[1:] for w in words[1:])
+        elif form == 2:
+            text = "".join(w[0].upper() + w[1:] for w in words)
+        elif form == 3:
+            text = "_".join(words)
+        elif form == 4:
+            text = "-".join(words)
+        elif form == 5:
+            text = "/".join(words) + ("/v" + number[:1] if k % 2 else "")
+        elif form == 6:
+            text = "_".join(words).upper()
+        elif form == 7:
+            text = "_".join([*words, number])
+        else:
+            text = "/".join(words[:-1]) + "/" + words[-1][0].upper() + words[-1][1:] + words[0][0].upper() + words[0][1:]
+        out.append(text)
+    typed = [v for t in TYPED for v in (t, t.upper(), t[::-1])] * (n // 300)
+    return out + typed + [c * 24 for c in ALPHABET] * (n // 900)
+
+
 def _pairs(run: bytes) -> np.ndarray:
     code = _CODE[np.frombuffer(run, np.uint8)].astype(np.int64)
     return code[:-1] * _SIZE + code[1:]
@@ -69,7 +123,7 @@ def _counts(texts: list[str]) -> np.ndarray:
     for text in texts:
         secret = [False] * (len(text) + 1)
         raw = text.encode("utf-8", "surrogatepass")
-        for a, _, b in base_spans(text, raw, runs(raw)):
+        for a, _, b in base_spans(text, raw, runs(raw), places(raw)):
             secret[a:b] = [True] * (b - a)
         for m in re.finditer(r"[A-Za-z0-9+/_=-]{4,}", text):
             pairs = _pairs(m[0].encode())
@@ -81,7 +135,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Log-likelihood ratios of character pairs, random strings over ordinary words and identifiers.
 
     Samples are labelled by the fixed patterns in ``sample`` documents, those of the smallest id hashes;
-    ``MADE`` strings of random characters (letters and digits, base64, hex) join the random ones.
+    ``MADE`` strings of random characters (letters and digits, base64, hex) join the random ones, and the
+    ``ORDINARY`` identifiers, paths and rows of marks of ``made_ordinary`` the ordinary ones, which prose alone lacks.
     """
     spark = docs.sparkSession
     ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
@@ -103,6 +158,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         made = np.frombuffer(letters.encode(), np.uint8)[rng.integers(0, len(letters), (MADE // 3, 32))]
         for row in made:
             np.add.at(counts[0], _pairs(row.tobytes()), 1)
+    for text in made_ordinary():
+        np.add.at(counts[1], _pairs(text.encode()), 1)
     pairs = counts.reshape(2, _SIZE, _SIZE)
     single = pairs.sum(1, keepdims=True) + 0.5  # pairs not seen fall back on how common the second character is
     log = np.log((pairs + 5 * single / single.sum(2, keepdims=True)) / (pairs.sum(2, keepdims=True) + 5))
@@ -110,17 +167,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 
 def spans(text: str, ratios: np.ndarray) -> list[tuple[int, int, int]]:
-    """All spans of a text: those of the patterns, and other runs that look random; (start, index of the kind, end)."""
+    """All spans of a text: those of the patterns, and other runs that look random; (start, index of the kind, end).
+
+    Linear in the text but for sorting the spans: runs and the patterns' spans are met in one sweep.
+    """
     raw = text.encode("utf-8", "surrogatepass")
     found = runs(raw)
-    out = base_spans(text, raw, found)
-    fixed = list(out)
+    at = places(raw) if found else None
+    fixed = base_spans(text, raw, found, at)
+    out, k, reach = list(fixed), 0, -1
     for a, b in found:
-        ratio = ratios[_pairs(raw[a:b])]
-        if ratio.sum() >= TOTAL and ratio.mean() >= MEAN:
-            at = len(raw[:a].decode("utf-8", "surrogatepass"))
-            if not any(s < at + b - a and at < e for s, _, e in fixed):
-                out.append((at, 3, at + b - a))
+        first = a if at is None else int(at[a])
+        last = first + b - a
+        while k < len(fixed) and fixed[k][0] < last:
+            reach = max(reach, fixed[k][2])  # the farthest end of the spans that begin before the run ends
+            k += 1
+        if reach <= first:
+            ratio = ratios[_pairs(raw[a:b])]
+            if ratio.sum() >= TOTAL and ratio.mean() >= MEAN:
+                out.append((first, 3, last))
     return sorted(out)
 
 
