@@ -12,7 +12,6 @@ from pyspark.sql.types import BooleanType, LongType, StructType
 # A schema names a tool's fields: (field, type as Spark names a variant's type, required).
 Schemas = dict[str, list[tuple[str, str, bool]]]
 MARK = "$result:"  # a JSON string of this and an identifier stands for the result of that call
-DEPTH = 1 << 51  # of a position; turns below 2^31 and places below 1,000,000 stay under it
 
 
 def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,13 +70,13 @@ def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def _depths(edges: DataFrame) -> DataFrame:
-    """(conv_id, position, call_id, depth, broken) of the calls that refer to others, from (conv_id, position, call_id, made, uses).
+    """(conv_id, position, call_id, moved, broken) of the calls that refer to others, from (conv_id, position, call_id, made, uses, top).
 
     Calls that nothing holds up have depth 0, others one more than the deepest call they use. Calls on a cycle,
     behind one, or with a reference to no call (made null) are broken; the first two stand one below what they
     use outside the cycle. One task holds the references of one conversation.
     """
-    schema = StructType([*[f for f in edges.schema if f.name in ("conv_id", "position", "call_id")]]).add("depth", LongType()).add("broken", BooleanType())
+    schema = StructType([*[f for f in edges.schema if f.name in ("conv_id", "position", "call_id")]]).add("moved", LongType()).add("broken", BooleanType())
 
     def work(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
@@ -97,13 +96,16 @@ def _depths(edges: DataFrame) -> DataFrame:
                 if not waits[user]:
                     ready.append(user)
         broken |= calls - set(ready)
-        made = sorted(calls, key=lambda c: (c[0], c[1] or ""))
-        names, conv = ["conv_id", "position", "call_id", "depth", "broken"], table.column("conv_id")[0].as_py()
+        made = sorted(calls, key=lambda c: (depth[c], c[0], c[1] or ""))
+        # Calls that use others go behind all places of the conversation, by depth, then place; so depth is no part of a number.
+        last = rows["top"][0]
+        moved = {c: last + n for n, c in enumerate((c for c in made if depth[c]), 1)}
+        names, conv = ["conv_id", "position", "call_id", "moved", "broken"], table.column("conv_id")[0].as_py()
         types = [table.schema.field(n).type for n in names[:3]] + [pa.int64(), pa.bool_()]
-        columns = [[conv] * len(made), [c[0] for c in made], [c[1] for c in made], [depth[c] for c in made], [c in broken for c in made]]
+        columns = [[conv] * len(made), [c[0] for c in made], [c[1] for c in made], [moved.get(c) for c in made], [c in broken for c in made]]
         return pa.table([pa.array(x, t) for x, t in zip(columns, types)], names=names)
 
-    return edges.groupBy("conv_id").applyInArrow(work, StructType([schema[n] for n in ("conv_id", "position", "call_id", "depth", "broken")]))
+    return edges.groupBy("conv_id").applyInArrow(work, StructType([schema[n] for n in ("conv_id", "position", "call_id", "moved", "broken")]))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -127,14 +129,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
             .withColumn("fields", F.when(F.col("object").isNotNull(), F.from_json("arguments", "map<string, variant>"))))
     asked = rows.select("conv_id", "position", "call_id", F.explode(references(F.to_json("object"))).alias("uses"))
     given = calls.filter("call_id is not null").groupBy("conv_id", F.col("call_id").alias("uses")).agg(F.min(position).alias("made"))
-    depths = _depths(asked.join(given, ["conv_id", "uses"], "left").select("conv_id", "position", "call_id", "made", "uses"))
-    moved = depths.select(F.col("conv_id").alias("_conv"), F.col("position").alias("_position"), F.col("call_id").alias("_call"), "depth", "broken")
+    tops = rows.groupBy("conv_id").agg(F.max("position").alias("top"))
+    depths = _depths(asked.join(given, ["conv_id", "uses"], "left").join(tops, "conv_id").select("conv_id", "position", "call_id", "made", "uses", "top"))
+    moved = depths.select(F.col("conv_id").alias("_conv"), F.col("position").alias("_position"), F.col("call_id").alias("_call"), "moved", "broken")
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("position") == F.col("_position")) & F.col("call_id").eqNullSafe(F.col("_call"))
     body = F.to_json(F.struct(
         F.col("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name"), F.col("answer.content").alias("result")),
         {"ignoreNullFields": "false"})
     nested = F.to_json(F.struct(F.col("object").alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name"), F.col("answer.content").alias("result")), {"ignoreNullFields": "false"})
     return rows.join(moved, same, "left").select(
-        "conv_id", (F.col("position") + F.coalesce("depth", F.lit(0)) * DEPTH).alias("position"), "call_id", "tool", F.col("answer").isNotNull().alias("linked"),
+        "conv_id", F.coalesce("moved", "position").alias("position"), "call_id", "tool", F.col("answer").isNotNull().alias("linked"),
         _valid(F.col("tool"), F.col("fields"), schemas).alias("valid"), (~F.coalesce("broken", F.lit(False))).alias("ordered"),
         F.when(F.col("object").isNull(), body).otherwise(nested).alias("payload"))
