@@ -17,10 +17,14 @@ from intelspark.session import shared_folder
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language model rejects; it is fitted on this stage's labelled documents."""
+    """Drops documents that the language model rejects, also those without a letter; it is fitted on this stage's labelled documents.
+
+    Columns named like those that the model adds keep their values: they bear other names while it runs.
+    """
     model = language.fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
-    marks = [F.col(c) for c in docs.columns]
-    return language.identify(docs, model).filter(~F.col("lang_rejected")).select(*marks)
+    aside = {c: f"kept_{c}" for c in docs.columns if c not in ("doc_id", "text", "lang")}
+    known = language.identify(docs.withColumnsRenamed(aside), model).filter(~F.col("lang_rejected"))
+    return known.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +44,12 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in the texts; all documents stay."""
+    """Replaces every secret in the texts; all documents stay, also those without text or id."""
     return secrets.redact(docs, secrets.fit(docs.select("doc_id", "text")))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, packed in windows."""
+    """Pieces of the documents that are left, packed in windows; a null text is an empty document."""
     return packing.pack(docs)
 
 
@@ -56,7 +60,7 @@ STAGES = [
     ("secrets", redact_secrets),
     ("packing", pack_windows),
 ]
-ORACLE_SQL = None  # the stages' models and alignments are beyond SQL; tests compare with brute force
+ORACLE_SQL = None  # the stages' models and alignments are beyond SQL; tests/llm/test_pipeline.py compares them with plain code
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
