@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intelspark.llm.common import gather, map_partition, parts
+from intelspark.llm.common import gather, keep, map_partition, parts
 from intelspark.session import cut_lineage
 
 VOCABULARY_A = "byte_bpe_50k.json"
@@ -85,6 +85,10 @@ def pair_of(*vocabularies: str) -> Pair:
     return _PAIRS[vocabularies]
 
 
+def forget_pairs() -> None:
+    _PAIRS.clear()
+
+
 class Pair:
     """The two vocabularies, and what they make of segments; a bounded memory of segments keeps repeats cheap."""
 
@@ -208,6 +212,7 @@ def aligned(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pair = pair_of(vocabulary_a, vocabulary_b)
+        keep("alignment", forget_pairs)
         for batch in parts(batches):
             segments, codes, first = cut_segments(batch.column("text"))
             found = pair.segments(segments)
@@ -230,7 +235,7 @@ def aligned(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str
             yield {"doc_id": batch.column("doc_id"), **out}
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, n_pairs long"
-    return map_partition(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema)
+    return map_partition(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema, owner="alignment")
 
 
 def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,12 +25,26 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+_KEPT: dict[str, Callable[[], None]] = {}  # memories of this worker that outlast a task, by owner, and how to let them go
+
+
+def keep(owner: str, let_go: Callable[[], None]) -> None:
+    _KEPT[owner] = let_go
+
+
+def release(but: str | None = None) -> None:
+    """Lets go what tasks of other owners have left in this worker, so that stages do not add up their memories."""
+    for owner in [o for o in _KEPT if o != but]:
+        _KEPT.pop(owner)()
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``work`` turns an Arrow batch into columns (arrays or lists by name); the result has ``schema``."""
     names = StructType.fromDDL(schema).fieldNames()
     types = _arrow_types(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             if batch.num_rows:
                 out = work(batch)
@@ -39,12 +53,16 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, schema)
 
 
-def map_partition(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """Like ``map_batches``, but ``work`` sees all batches of a partition and yields any number of column sets."""
+def map_partition(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, owner: str | None = None) -> DataFrame:
+    """Like ``map_batches``, but ``work`` sees all batches of a partition and yields any number of column sets.
+
+    What the ``owner`` keeps in a worker stays there, what others kept goes.
+    """
     names = StructType.fromDDL(schema).fieldNames()
     types = _arrow_types(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
         for out in work(batches):
             yield pa.RecordBatch.from_arrays([_array(out[n], t) for n, t in zip(names, types)], names=names)
 

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from intelspark.llm.common import map_batches, map_partition, texts_of
+from intelspark.llm.common import map_batches, map_partition, release, texts_of
 
 DIMS = 4096
 FIT_ROWS = 300  # labelled documents per language that the centroids are fitted on
 CENTROIDS = 4  # clusters per language
 SLACK = 0.25  # a text is rejected below this share of the lowest cosine seen among the fitted documents
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # no digit, fraction or circled number is a letter
 # Letters of ASCII and all bytes of other characters stay, the rest counts as a space.
 _KEPT = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 
@@ -122,6 +122,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     left = docs.drop(*[n for n, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             pred, score, rejected = [], [], []

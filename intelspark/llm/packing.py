@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intelspark.llm.common import U64, gather, map_partition, mix, parts, split_words
+from intelspark.llm.common import U64, gather, keep, map_partition, mix, parts, split_words
 from intelspark.session import cut_lineage
 
 VOCABULARY = "word_bpe_49k.json"
@@ -112,6 +112,7 @@ def _tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         words = word_ids(vocabulary)
+        keep("packing", word_ids.cache_clear)
         for part in parts(batches):
             rows = []
             distinct, codes, offsets = split_words(part.column("text"))
@@ -128,7 +129,7 @@ def _tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
             if rows:
                 yield dict(zip(("doc_id", "doc_tokens", "start", "length", "crc", "ids", "place"), zip(*rows)))
 
-    return map_partition(docs, work, schema)
+    return map_partition(docs, work, schema, owner="packing")
 
 
 def _document_frequencies(rest: DataFrame) -> tuple[dict[int, int], int, float]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from intelspark.llm.common import map_partition
+from intelspark.llm.common import map_partition, release
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -203,6 +203,7 @@ def scan(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     left = docs.drop(*added.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows = []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
@@ -224,6 +225,7 @@ def redact(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
