@@ -118,31 +118,35 @@ def keyed_aliases(index: DataFrame) -> DataFrame:
     return index.select("alias", "company_id", "alias_length", kind.alias("kind"), F.concat(kind, F.lit(":"), key).alias("key"))
 
 
-def _text_keys(text: Column) -> Column:
-    """Distinct keys of a text, each size found in one pass over it.
+def _text_keys(text: Column, words: Column) -> Column:
+    """Distinct keys of a text, given its letter-digit runs: neighbouring runs joined, and character keys.
 
     A look-ahead gives overlapping matches. A character key needs a character that is not ASCII, or a digit
     and no letter, as every alias matched as a plain substring has around its mark.
     """
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     named = lambda kind, keys: F.transform(keys, lambda k: F.concat(F.lit(f"{kind}:"), k))
-    words = [F.transform(every(rf"(?<![a-z0-9])(?=({_WORD}(?:[^a-z0-9]+{_WORD}){{{n - 1}}}))"), lambda k: F.regexp_replace(k, "[^a-z0-9]+", " "))
-             for n in range(1, WORDS_MAX + 1)]
-    wide = [every(rf"(?s)(?=.{{0,{n - 1}}}{_WIDE})(?=(.{{{n}}}))") for n in range(2, GRAM_MAX + 1)]
-    bare = [every(rf"(?s)(?=[^a-z]{{0,{GRAM_MAX - 1}}}[0-9])(?=([^a-z]{{{GRAM_MAX}}}))")]
+    runs = [F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
+            for n in range(1, WORDS_MAX + 1)]
+    wide = F.concat(*[every(rf"(?s)(?=.{{0,{n - 1}}}{_WIDE})(?=(.{{{n}}}))") for n in range(2, GRAM_MAX + 1)])
+    wide = F.when(text.rlike(_WIDE), wide).otherwise(F.array().cast("array<string>"))
+    bare = every(rf"(?s)(?=[^a-z]{{0,{GRAM_MAX - 1}}}[0-9])(?=([^a-z]{{{GRAM_MAX}}}))")
     digits = F.filter(_runs(text, _DIGITS), lambda d: F.length(d) >= 4)
-    return F.array_distinct(F.concat(named("digits", digits), *[named("word", k) for k in words], *[named("plain", k) for k in wide + bare]))
+    return F.array_distinct(F.concat(named("digits", digits), *[named("word", k) for k in runs], named("plain", wide), named("plain", bare)))
 
 
 def matches(texts: DataFrame, index: DataFrame, row: str = "row_id", text: str = "text", salts: int = 8) -> DataFrame:
     """All verified (row, alias, company) occurrences."""
     aliases = keyed_aliases(index)
-    normal = texts.select(row, alias_key(text).alias("_text")).filter(F.col("_text") != "")
+    # An empty text has no key, so no filter folds every text a second time.
+    normal = texts.select(row, alias_key(text).alias("_text"))
     # The key side carries no text, so a long document is not copied per key.
-    keys = spread_array(normal, [row], _text_keys(F.col("_text")), "key").withColumn("salt", F.pmod(F.xxhash64(row), F.lit(salts)))
+    cut = normal.withColumn("_words", _runs(F.col("_text"), _WORD))
+    keys = spread_array(cut, [row], _text_keys(F.col("_text"), F.col("_words")), "key").withColumn("salt", F.pmod(F.xxhash64(row), F.lit(salts)))
     spread = aliases.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
-    found = keys.join(spread, ["key", "salt"]).select(row, "kind", "alias", "company_id", "alias_length")
-    joined = found.join(normal, row)
+    # Aliases and texts grow with the input and are larger than their files suggest, so neither is broadcast.
+    found = keys.join(spread.hint("merge"), ["key", "salt"]).select(row, "kind", "alias", "company_id", "alias_length")
+    joined = found.join(normal.hint("merge"), row)
     literal = F.concat(F.lit(r"\Q"), F.replace(F.col("alias"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     inside = (
         F.when(F.col("kind") == "digits", F.lit(True))
@@ -184,9 +188,9 @@ def backfill(rows: DataFrame, index: DataFrame, text: Column, run_id: str, targe
     if limit:
         open_rows = open_rows.orderBy("row_id").limit(limit)
     matched = match_companies(open_rows, index).withColumnRenamed("company_id", "new_company_id")
-    filled = rows.join(matched.select(F.col("row_id").alias(key), "new_company_id"), key, "left").withColumn(
+    filled = rows.join(matched.select(F.col("row_id").alias(key), "new_company_id").hint("merge"), key, "left").withColumn(
         "company_id", F.coalesce("company_id", "new_company_id")).drop("new_company_id")
-    audit = matched.join(open_rows, "row_id").select(
+    audit = matched.join(open_rows.hint("merge"), "row_id").select(
         F.lit(run_id).alias("run_id"), F.lit(target).alias("target_table"), F.col("row_id").alias("target_row_id"), "new_company_id",
         F.lit("alias_match").alias("mapping_method"), "confidence", F.col("alias").alias("matched_alias"), F.left("text", F.lit(400)).alias("matched_context"))
     return filled, audit
