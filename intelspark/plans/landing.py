@@ -155,7 +155,7 @@ def a3(v):
     return feeds.time_series(v.raw("orders").select("o_orderkey", payload.alias("p")), "p", ["o_orderkey"]).drop("value")
 
 
-@query("a8_archive_window", """SELECT user_id AS link, strftime(max(date_trunc('second', ts)), '%Y-%m-%d %H:%M:%S') AS published_at FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND event_type <> 'error' GROUP BY 1""")
+@query("a8_archive_window", """SELECT user_id AS link, strftime(max(date_trunc('second', ts)), '%Y-%m-%d %H:%M:%S') AS published_at FROM events WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND event_type <> 'error' GROUP BY 1""")
 def a8(v):
     items = v.raw("events").select(F.col("user_id").alias("link"), F.col("event_type").alias("title"), F.when(F.col("event_type") == "error", "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("pubDate"))
     start, end = (F.to_timestamp(F.lit(x)) for x in ("2024-01-05 00:00:00", "2024-01-20 00:00:00"))
