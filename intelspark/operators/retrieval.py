@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -130,16 +128,18 @@ def chunks_without_embedding(chunks: DataFrame, embeddings: DataFrame, model: st
 
 
 def hash_embedding(dimensions: int):
-    """Deterministic stand-in embedding: unit vectors drawn from a generator seeded by the text."""
+    """Deterministic stand-in embedding: unit vectors drawn from a generator seeded by the text, of which Python sees only the hash."""
 
     @F.pandas_udf(ArrayType(FloatType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        def one(text):
-            seed = int(hashlib.sha256((text or "").encode()).hexdigest()[:16], 16)
-            values = np.random.default_rng(seed).uniform(-1.0, 1.0, dimensions)
+    def drawn(seeds: pd.Series) -> pd.Series:
+        def one(seed):
+            values = np.random.default_rng(int(seed, 16)).uniform(-1.0, 1.0, dimensions)
             return (values / (np.linalg.norm(values) or 1.0)).astype("float32")
 
-        return texts.map(one)
+        return seeds.map(one)
+
+    def embed(text: Column | str) -> Column:
+        return drawn(F.left(F.sha2(F.coalesce(col(text), F.lit("")), 256), F.lit(16)))
 
     return embed
 
