@@ -173,7 +173,9 @@ def gather(lists: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     own = size[codes]
     ends = np.cumsum(own)
     begins = ends - own
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[codes] - begins, own)
+    total = int(ends[-1]) if len(ends) else 0
+    place = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=place) + np.repeat((first[codes] - begins).astype(place), own)
     return flat[at], np.append(begins, ends[-1] if len(ends) else 0)
 
 

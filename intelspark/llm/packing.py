@@ -13,16 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intelspark.llm.common import U64, gather, keep, map_partition, mix, parts, split_words
+from intelspark.llm.common import U64, gather, keep, map_partition, mix, slices, split_words
 from intelspark.session import cut_lineage
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1  # id that follows each document
 WINDOW = 2048
-PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]*)")
-LETTERS = re.compile("[a-zà-öø-ÿ]+(?: [a-zà-öø-ÿ]+)*")
+PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")  # letters, then ASCII marks
+LETTERS = re.compile("[a-zß-öø-ÿ]+(?: [a-zß-öø-ÿ]+)*")  # what PLAIN's letters are in lower case
 WORD_END = "</w>"  # mark of the vocabulary's tokens that end a word
 SHARD_TOKENS = 1 << 21  # tokens of a shard of the index, on average
+PART_BYTES = 4 << 20  # text that is cut into words at a time
 QUERY_TERMS = 24  # terms of a seed that are looked up
 NEIGHBOURS = 48  # candidates taken from the index at a time
 K1, B = 1.2, 0.75
@@ -44,6 +45,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else path(vocabulary))
+        self.bare = self._unnormalised()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
@@ -59,6 +61,17 @@ class WordIds:
             self.cores.update(zip(part, self._joined(part) or [np.array(e.ids, np.int32).tobytes() for e in self._encode(part)]))
         return [self.cores[w] for w in words]
 
+    def _unnormalised(self):
+        """The vocabulary without its normaliser, for joined words, if that leaves their letters and blanks as they are."""
+        from tokenizers import Tokenizer, normalizers
+
+        letters = " ".join(c for c in map(chr, range(256)) if LETTERS.fullmatch(c))
+        if self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(letters) != letters:
+            return self.tokenizer
+        bare = Tokenizer.from_str(self.tokenizer.to_str())
+        bare.normalizer = normalizers.Sequence([])
+        return bare
+
     def _encode(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
@@ -69,7 +82,7 @@ class WordIds:
         """
         if not LETTERS.fullmatch(text := " ".join(words)):
             return None
-        ids = np.array(self._encode([text])[0].ids, np.int32)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
         ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
         if len(ends) != len(words):
             return None
@@ -113,7 +126,7 @@ def _tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         words = word_ids(vocabulary)
         keep("packing", word_ids.cache_clear)
-        for part in parts(batches):
+        for part in (p for batch in batches for p in slices(batch, limit=PART_BYTES)):
             rows = []
             distinct, codes, offsets = split_words(part.column("text"))
             every, begins = gather(words.ids(distinct), codes)
