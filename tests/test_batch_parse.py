@@ -25,3 +25,11 @@ def test_says_is_the_pattern_of_all_words(spark):
     for words in ((), ("a.b",), ("zz", "xb")):
         got = texts.select(p.says(F.col("t"), words).alias("s"), F.col("t").rlike(p.any_of(words)).alias("r")).collect()
         assert all(g["s"] == g["r"] for g in got)
+
+
+def test_the_discussion_is_worked_out_once(spark):
+    plans.load()
+    rows = plans.QUERIES["k10_management_discussion"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    filters = [line for line in plan.toString().splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert not any("aggregate" in line or "filter(" in line or "regexp" in line for line in filters)
