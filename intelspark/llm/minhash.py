@@ -4,7 +4,9 @@ Documents with equal shingle sets are one class. Class representatives are bande
 minima and maxima of three permutations). Pairs come from two passes, and both are confirmed on full sets:
 
 1. in each bucket, sorted by the values that follow the band, neighbours and the head of each run are
-   paired: a number of pairs linear in the rows, enough to join most of a large group of copies;
+   paired, beyond a bucket's first rows in every fourth bucket only: a number of pairs linear in the rows, enough
+   to join most of a large group of copies. Which pairs these are settles only how much is left to the second
+   pass, which takes all rows of all buckets;
 2. in buckets that still hold several components, the rows outside the bucket's largest component are
    compared, block by block, with all its rows by signature; rows of different components whose
    estimate lies within five deviations of the threshold fall into one group. Inside a group, the rows
@@ -36,8 +38,10 @@ from intelspark.session import cut_lineage
 
 PERMS_PER_BAND = 3
 MISS = 1e-6  # chance that a pair at the threshold shares no band
+FEW, FIRST = 8, 4  # the first pass pairs the first FEW rows of a bucket, and all rows of one bucket in FIRST, chosen by the band's hash
 RUN = 256  # rows of a bucket that share a head in the first pass
 BLOCK = 512  # rows of a bucket or group in a block of the second pass
+BITS = 1 << 23  # of the bitmap of documents whose full sets are made: 1 MB
 BLOCK_BYTES = 2 << 20  # full sets in a block of the second pass, on average
 
 
@@ -111,11 +115,12 @@ def _near_pairs(rows: DataFrame) -> DataFrame:
                     head, since = d, 0
                 elif d != tail_id:
                     since += 1
-                    a.append(min(tail_id, d))
-                    b.append(max(tail_id, d))
-                    if head != tail_id and head != d:
-                        a.append(min(head, d))
-                        b.append(max(head, d))
+                    if since < FEW or k % FIRST == 0:
+                        a.append(min(tail_id, d))
+                        b.append(max(tail_id, d))
+                        if head != tail_id and head != d:
+                            a.append(min(head, d))
+                            b.append(max(head, d))
                     if since % RUN == 0:
                         head = d
                 tail_band, tail_id = k, d
@@ -147,7 +152,14 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def sets(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "items": [shingles(t, words).tobytes() for t in texts_of(batch)]}
 
-    return cut_lineage(map_batches(docs.join(ids, "doc_id", "left_semi"), sets, "doc_id long, items binary").dropDuplicates(["doc_id"]))
+    # Most texts are dropped where they are read, by a bitmap of fixed size; the join then drops those that share a bit with an id.
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    marked = ids.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("marks"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("marks", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = (docs.withColumn("part", F.bitmap_bucket_number(bit)).join(F.broadcast(marked), "part")
+              .filter(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1).select(*docs.columns))
+    return cut_lineage(map_batches(likely.join(ids, "doc_id", "left_semi"), sets, "doc_id long, items binary").dropDuplicates(["doc_id"]))
 
 
 def _common(full: DataFrame) -> DataFrame:
@@ -313,8 +325,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     following = F.transform("bands", lambda _, i: F.element_at("bands", (i + 1) % count + 1))
     rows = (heads.select("doc_id", F.explode(F.arrays_zip("bands", following.alias("following"))).alias("x"))
             .select("doc_id", F.col("x.bands").alias("band"), F.col("x.following").alias("next")))
-    shared = rows.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("band")
-    members = cut_lineage(rows.join(shared, "band"))
+    placed = rows.repartition("band")  # read by both sides of the join, moved once
+    shared = placed.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("band")
+    members = cut_lineage(placed.join(shared, "band"))
     sketches = heads.select("doc_id", "n", "sketch")
 
     pairs = cut_lineage(_estimated(_near_pairs(members), sketches, floor))

@@ -74,6 +74,29 @@ def test_near_duplicates_around_the_threshold(spark, monkeypatch):
     assert sorted(zip(ends["a"].tolist(), ends["b"].tolist())) == [(1, 2), (5, 7), (5, 9), (5, 11)]
 
 
+def test_first_pass_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    base = made(200, 700).split()
+    texts = [" ".join(f"own{i}x{k}" if k in edits else w for k, w in enumerate(base)) for i in range(300) for edits in [set(rng.sample(range(200), rng.randint(1, 4)))]]
+    made_pairs = []
+    estimated = minhash._estimated
+
+    def counted(pairs, *more):
+        made_pairs.append(pairs.count())
+        return estimated(pairs, *more)
+
+    monkeypatch.setattr(minhash, "_estimated", counted)
+    sets = [set(shingles(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while any(root[i] != root[j] for i, j in linked):
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+    assert 0 < made_pairs[0] <= 30 * len(texts)  # neighbours and heads of all buckets would be twice as many and more
+
+
 def test_suffix_order():
     rng = random.Random(4)
     for _ in range(300):
