@@ -3,7 +3,7 @@
 A map over the documents finds, for each 50-byte string, its anchor: the 26-byte string of smallest hash
 inside. Equal strings have equal anchors at equal places, so strings can be compared anchor by anchor:
 the stretch of text around an anchor (its context) holds the 50-byte strings that the anchor stands for.
-Contexts travel in packed blocks to the bucket of their anchor, equal ones of a block once. There,
+Contexts, without the bytes of the anchor that its hash stands for, travel in packed blocks to the bucket of their anchor, equal ones of a block once. There,
 anchors of one document have nothing to share, anchors with a single context share all of it, and the
 contexts of all others are suffix-sorted in linear time to find which of their strings are equal.
 """
@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intelspark.llm.common import U64, map_partition, mix, parts, powers, range_hashes
+from intelspark.llm.common import U64, map_partition, mix, powers, range_hashes, slices
 
 LENGTH, ANCHOR = 50, 26
 REACH = LENGTH - ANCHOR + 1  # anchors that a string could have
-BUCKET_BYTES = 3 << 20  # text whose contexts share a bucket, on average
+AROUND = LENGTH - 1 - ANCHOR  # bytes of a context besides its anchor, less its strings
+BUCKET_BYTES = 2 << 20  # text whose contexts share a bucket, on average
 SHARE_BYTES = 16 << 20  # text of the documents that are cut together at the end, on average
+PART_BYTES = 4 << 20  # text whose contexts are packed together
 SORT_SYMBOLS = 1 << 16  # symbols sorted at a time
 
 
@@ -117,7 +119,7 @@ def _pack(*columns: np.ndarray | bytes) -> bytes:
     import zstandard
 
     raw = [c if isinstance(c, bytes) else c.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw)) + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw)) + b"".join(raw))
 
 
 def _unpack(blob: bytes) -> list[bytes]:
@@ -136,7 +138,7 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block): packed distinct contexts of some documents, and where each stands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for part in parts(batches):
+        for part in (s for batch in batches for s in slices(batch, limit=PART_BYTES)):
             ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
             raws, found, base = [], [], 0
             for doc, text in zip(ids, texts):
@@ -152,13 +154,14 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
                 sums = np.append(U64(0), np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)]))
                 whole = mix((sums[first + n + LENGTH - 1] - sums[first]) * down[first] + n.astype(U64))
                 at = anchor[first]
-                found.append((h[at], mix(whole + h[at]), np.full(len(first), doc, np.int64), first, n, at - first, first + base))
+                found.append((h[at], mix(whole + h[at]), np.full(len(first), doc, np.int64), first.astype(np.uint32), n.astype(np.uint8), (at - first).astype(np.uint8), first + base))
                 raws.append(raw)
                 base += len(raw)
             if not found:
                 continue
             anchor, context, doc, first, n, rel, at = (np.concatenate(c) for c in zip(*found))
             everything = b"".join(raws)
+            found = raws = None
             bucket = ((anchor >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
             order = np.lexsort((doc, context, anchor))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -168,14 +171,15 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
                 c = context[some]
                 head = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (anchor[some[1:]] != anchor[some[:-1]])))
                 k = some[head]
-                stretch = b"".join([everything[a:e] for a, e in zip(at[k].tolist(), (at[k] + n[k] + LENGTH - 1).tolist())])
+                stretch = b"".join([x for a, m, e in zip(at[k].tolist(), (at[k] + rel[k]).tolist(), (at[k] + n[k] + LENGTH - 1).tolist())
+                                    for x in (everything[a:m], everything[m + ANCHOR : e])])
                 low = int(doc[some].min())
                 span = doc[some] - low
                 span = span.astype(np.uint32) if span.max() < 1 << 32 else span
                 out["bucket"].append(b)
                 out["block"].append(_pack(
-                    anchor[k], rel[k].astype(np.uint8), n[k].astype(np.uint8), np.diff(np.append(head, len(some))).astype(np.uint32),
-                    np.array([low, span.itemsize]), span, first[some].astype(np.uint32), stretch))
+                    anchor[k], rel[k], n[k], np.diff(np.append(head, len(some))).astype(np.uint32),
+                    np.array([low, span.itemsize]), span, first[some], stretch))
             yield out
 
     return map_partition(docs, work, "bucket long, block binary")
@@ -196,17 +200,17 @@ class _Bucket:
                 column.append(v)
         self.anchor, rel, n, count, self.doc, self.first, self.data = (np.concatenate(c) for c in columns)
         self.rel, self.n, self.count = rel.astype(np.int64), n.astype(np.int64), count.astype(np.int64)
-        self.at = np.cumsum(self.n + LENGTH - 1) - (self.n + LENGTH - 1)
+        self.at = np.cumsum(self.n + AROUND) - (self.n + AROUND)
         self.begin = np.cumsum(self.count) - self.count
         self.smallest, self.largest = np.minimum.reduceat(self.doc, self.begin), np.maximum.reduceat(self.doc, self.begin)
         self.window = np.cumsum(self.n) - self.n
 
     def smallest_documents(self) -> np.ndarray:
         """For each 50-byte string of each context the smallest document that holds it."""
-        size = self.n + LENGTH - 1
-        whole = np.concatenate([
+        size = self.n + AROUND
+        whole = mix(U64(1) + self.rel.astype(U64) + np.concatenate([
             range_hashes(self.data[self.at[a] : self.at[a : a + 8192][-1] + size[a : a + 8192][-1]], self.at[a : a + 8192] - self.at[a], self.at[a : a + 8192] - self.at[a] + size[a : a + 8192])
-            for a in range(0, len(size), 8192)])
+            for a in range(0, len(size), 8192)]))
         order = np.lexsort((whole, self.anchor))
         a, w = self.anchor[order], whole[order]
         group = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
@@ -255,7 +259,7 @@ class _Bucket:
             docs.append(np.full(n, least[c]))
             symbols += (self.data[at : at + rel].astype(int) + 1).tolist()
             symbols.append(names[int(self.anchor[c])])
-            symbols += (self.data[at + rel + ANCHOR : at + n + LENGTH - 1].astype(int) + 1).tolist()
+            symbols += (self.data[at + rel : at + n + AROUND].astype(int) + 1).tolist()
             symbols.append(0)
         starts, docs = np.concatenate(starts), np.concatenate(docs)
         slot = np.full(len(symbols), -1)

@@ -104,6 +104,14 @@ def test_suffix_order():
         assert suffixes.suffix_order(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_contexts_are_small(spark):
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=100_000))) for i in range(60)]
+    found = suffixes._contexts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 1)
+    sizes = [len(r.block) for r in found.collect()]
+    assert max(sizes) <= 14_000_000 and sum(sizes) <= 17_500_000  # 22,843,740 in one block before; the anchors' own bytes are not moved
+
+
 def test_removed_bytes(docs, rows, empty):
     seen, want = set(), {}
     for i, t, *_ in rows:
