@@ -36,7 +36,7 @@ def market_name(source: Column, payload: Column, title: Column) -> Column:
 def market_companies(facts: DataFrame, order: list[str]) -> DataFrame:
     """Company profiles found in market facts: longest name, united segments, industries as first seen.
 
-    ``order`` names numeric columns that order the facts; everything is aggregated map-side first.
+    ``order`` names numeric columns that order the facts; facts are read once and aggregated map-side first.
     """
     known = facts.filter(F.col("source").isin(*rules.MARKET_SOURCES) & (F.trim("company_id") != ""))
     named = known.select(
@@ -44,13 +44,14 @@ def market_companies(facts: DataFrame, order: list[str]) -> DataFrame:
         F.coalesce(blank_to_null(strip("industry")), F.lit("Listed Companies")).alias("industry")).filter(F.col("name") != "")
     first = F.struct(*[F.col(c).cast("double").alias(c) for c in order])
     earliest = F.struct(F.length("name").alias("n"), *[(-F.col(c).cast("double")).alias(c) for c in order])
-    base = named.groupBy("company_id").agg(
-        F.max_by("name", earliest).alias("canonical_name"), F.min_by("source", first).alias("discovered_from"), F.collect_set("source").alias("sources"))
-    seen = named.groupBy("company_id", "industry").agg(F.min(first).alias("at"))
-    industries = seen.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("at", "industry"))).alias("i"))
+    seen = named.groupBy("company_id", "industry").agg(
+        F.max(F.struct(earliest.alias("by"), "name")).alias("best"), F.min(F.struct(first.alias("at"), "source")).alias("start"), F.collect_set("source").alias("sources"))
+    base = seen.groupBy("company_id").agg(
+        F.max("best")["name"].alias("canonical_name"), F.min("start")["source"].alias("discovered_from"), F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"),
+        F.array_sort(F.collect_list(F.struct(F.col("start.at").alias("at"), "industry"))).alias("i"))
     tags = F.create_map(*[x for name, row in rules.MARKET_SOURCES.items() for x in (F.lit(name), F.array(*[F.lit(t) for t in row[2]]))])
     region = F.create_map(*[x for name, row in rules.MARKET_SOURCES.items() for x in (F.lit(name), F.lit(row[0]))])
-    return base.join(industries, "company_id").select(
+    return base.select(
         "company_id", "canonical_name", F.element_at(region, F.col("discovered_from")).alias("region"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("sources", lambda s: F.element_at(tags, s))))).alias("segments"),
         F.transform("i", lambda x: x["industry"]).alias("industries"), "discovered_from")

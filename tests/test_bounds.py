@@ -26,3 +26,12 @@ def test_edges_of_windows_and_numbers(spark, tmp_path, name):
         con.execute(f"INSERT INTO events SELECT {', '.join('?' for _ in names)}", [row[n] for n in names])
     con.execute(f"COPY events TO '{tmp_path / 'events.parquet'}' (FORMAT parquet)")
     assert oracle.compare(entry.queries()[name](spark, os.fspath(tmp_path)), con, entry.oracle_sql()[name]) == ""
+
+
+def test_market_facts_are_read_once(spark):
+    from intelspark.operators import resolve
+
+    facts = spark.range(20).selectExpr("id", "'szse_cninfo' as source", "cast(id % 3 as string) as company_id", "concat('Name ', id) as title", "'{}' as payload", "if(id % 2 = 0, 'a', 'b') as industry")
+    out = resolve.market_companies(facts, ["id"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {r.company_id: list(r.industries) for r in out.collect()} == {"0": ["a", "b"], "1": ["b", "a"], "2": ["a", "b"]}
