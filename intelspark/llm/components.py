@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from intelspark.session import cut_lineage
 
 MAX_ROUNDS = 60
+JOINED = 4  # rounds whose moves are joined in one query
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,8 +16,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points a node at its smallest neighbour and moves every link to the nodes pointed at, so
     the graph shrinks at least by half; a node with very many links only meets sums and joins with one
-    row per key. Tables of a round are cut from lineage in the shared folder. Null ends are ignored,
-    repeated links and self links do no harm, and no links give no rows.
+    row per key. The links of a round are cut from lineage in the shared folder; its moves are a sum over them, made
+    again at the end. Null ends are ignored, repeated links and self links do no harm, and no links give no rows.
     """
     edges = cut_lineage(
         links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null and a <> b").distinct())
@@ -25,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         if edges.isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        move = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("to")))
+        move = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("to"))
         moves.append(move)
         to_a = move.select(F.col("node").alias("a"), F.col("to").alias("x"))
         to_b = move.select(F.col("node").alias("b"), F.col("to").alias("y"))
@@ -38,7 +39,9 @@ def components(links: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # A later round holds only nodes that an earlier one pointed at, so roots are found from the last round back.
     root = moves[-1]
-    for move in reversed(moves[:-1]):
+    for at, move in enumerate(reversed(moves[:-1]), 1):
         later = root.select(F.col("node").alias("to"), F.col("to").alias("end"))
-        root = cut_lineage(move.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to")))
-    return root.select("node", F.col("to").alias("root"))
+        root = move.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+        if at % JOINED == 0:
+            root = cut_lineage(root)
+    return cut_lineage(root).select("node", F.col("to").alias("root"))
