@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intelspark.llm.common import U64, map_partition, mix, powers, range_hashes, slices
+from intelspark.session import cut_lineage
 
 LENGTH, ANCHOR = 50, 26
 REACH = LENGTH - ANCHOR + 1  # anchors that a string could have
@@ -162,6 +163,7 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
             anchor, context, doc, first, n, rel, at = (np.concatenate(c) for c in zip(*found))
             everything = b"".join(raws)
             found = raws = None
+            anchor = mix(anchor)  # the smallest of many hashes are small; mixed, they fill all buckets alike
             bucket = ((anchor >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
             order = np.lexsort((doc, context, anchor))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -178,7 +180,7 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
                 span = span.astype(np.uint32) if span.max() < 1 << 32 else span
                 out["bucket"].append(b)
                 out["block"].append(_pack(
-                    anchor[k], rel[k], n[k], np.diff(np.append(head, len(some))).astype(np.uint32),
+                    np.diff(anchor[k], prepend=U64(0)), rel[k], n[k], np.diff(np.append(head, len(some))).astype(np.uint32),
                     np.array([low, span.itemsize]), span, first[some], stretch))
             yield out
 
@@ -194,7 +196,7 @@ class _Bucket:
             anchor, rel, n, count, base, span, first, stretch = _unpack(block)
             low, width = np.frombuffer(base, np.int64)
             doc = np.frombuffer(span, np.uint32 if width == 4 else np.int64).astype(np.int64) + low
-            values = (np.frombuffer(anchor, U64), np.frombuffer(rel, np.uint8), np.frombuffer(n, np.uint8), np.frombuffer(count, np.uint32),
+            values = (np.cumsum(np.frombuffer(anchor, U64), dtype=U64), np.frombuffer(rel, np.uint8), np.frombuffer(n, np.uint8), np.frombuffer(count, np.uint32),
                       doc, np.frombuffer(first, np.uint32), np.frombuffer(stretch, np.uint8))
             for column, v in zip(columns, values):
                 column.append(v)
@@ -318,12 +320,12 @@ def _stretches(contexts: DataFrame, buckets: int, shares: int) -> DataFrame:
 
         current, blocks = None, []
         for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
                 if bucket != current and blocks:
                     yield solved(blocks)
                     blocks = []
                 current = bucket
-                blocks.append(block)
+                blocks.append(block.as_py())
         if blocks:
             yield solved(blocks)
 
@@ -357,21 +359,21 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shares = 1 + size // BUCKET_BYTES, 1 + size // SHARE_BYTES
-    blocks = _stretches(_contexts(source, buckets), buckets, shares)
+    blocks = cut_lineage(_stretches(_contexts(source, buckets), buckets, shares))  # the contexts go before the texts move
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            yield {"share": _share(ids, shares), "block": pa.nulls(len(ids), pa.binary()), "doc_id": batch.column("doc_id"), "text": batch.column("text")}
+        for part in (s for batch in batches for s in slices(batch, limit=PART_BYTES)):
+            ids = part.column("doc_id").fill_null(0).to_numpy()
+            yield {"share": _share(ids, shares), "block": pa.nulls(len(ids), pa.binary()), "doc_id": part.column("doc_id"), "text": part.column("text")}
 
     texts = map_partition(source, numbered, "share long, block binary, doc_id long, text string")
     both = texts.unionByName(blocks, allowMissingColumns=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         current, spans = None, {}
-        for batch in batches:
+        for part in (s for batch in batches for s in slices(batch, limit=PART_BYTES)):
             rows = []
-            for share, block, doc, text in zip(*(batch.column(c).to_pylist() for c in ("share", "block", "doc_id", "text"))):
+            for share, block, doc, text in zip(*(part.column(c).to_pylist() for c in ("share", "block", "doc_id", "text"))):
                 if share != current:
                     current, spans = share, {}
                 if block is not None:
