@@ -135,6 +135,16 @@ def _unpack(blob: bytes) -> list[bytes]:
     return out
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: high bytes that are alike pack to little."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _whole(planes: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(planes, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
+
 def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block): packed distinct contexts of some documents, and where each stands."""
 
@@ -180,8 +190,8 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
                 span = span.astype(np.uint32) if span.max() < 1 << 32 else span
                 out["bucket"].append(b)
                 out["block"].append(_pack(
-                    np.diff(anchor[k], prepend=U64(0)), rel[k], n[k], np.diff(np.append(head, len(some))).astype(np.uint32),
-                    np.array([low, span.itemsize]), span, first[some], stretch))
+                    _planes(np.diff(anchor[k], prepend=U64(0))), rel[k], n[k], _planes(np.diff(np.append(head, len(some))).astype(np.uint32)),
+                    np.array([low, span.itemsize]), _planes(span), _planes(first[some]), stretch))
             yield out
 
     return map_partition(docs, work, "bucket long, block binary")
@@ -195,9 +205,9 @@ class _Bucket:
         for block in blocks:
             anchor, rel, n, count, base, span, first, stretch = _unpack(block)
             low, width = np.frombuffer(base, np.int64)
-            doc = np.frombuffer(span, np.uint32 if width == 4 else np.int64).astype(np.int64) + low
-            values = (np.cumsum(np.frombuffer(anchor, U64), dtype=U64), np.frombuffer(rel, np.uint8), np.frombuffer(n, np.uint8), np.frombuffer(count, np.uint32),
-                      doc, np.frombuffer(first, np.uint32), np.frombuffer(stretch, np.uint8))
+            doc = _whole(span, np.uint32 if width == 4 else np.int64).astype(np.int64) + low
+            values = (np.cumsum(_whole(anchor, U64), dtype=U64), np.frombuffer(rel, np.uint8), np.frombuffer(n, np.uint8), _whole(count, np.uint32),
+                      doc, _whole(first, np.uint32), np.frombuffer(stretch, np.uint8))
             for column, v in zip(columns, values):
                 column.append(v)
         self.anchor, rel, n, count, self.doc, self.first, self.data = (np.concatenate(c) for c in columns)
