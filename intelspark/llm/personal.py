@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from intelspark.llm.common import map_partition
 from intelspark.session import cut_lineage
 
-# Fixed patterns of the base kinds. Runs are possessive where no shorter match could succeed, so scans are linear.
+# Fixed patterns of the base kinds. Runs are possessive where no shorter match could succeed, so scans are linear. A pattern
+# begins with its first character, not with a look back, as re then goes from one such character to the next.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-ADDRESS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+ADDRESS = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -58,10 +59,14 @@ CONTEXT = {kind: frozenset(words.split()) for kind, words in CONTEXT.items()}
 OPPOSED = frozenset("version v isbn issn doi order invoice sku part page pages no figure table section ticket build serial issue vol chapter ratio hash sha md5 usd eur total price".split())
 
 HIDDEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]+(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]+)+")
-NUMBER = re.compile(r"\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+")
-ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-NAME = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES + FIRST_NAMES)})\.?\x20[A-ZÀ-Þ][a-zß-ÿ]{{1,30}}(?:\x20[A-ZÀ-Þ][a-zß-ÿ]{{1,30}})?(?!\w)")
-BIRTH = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])")
+NUMBER = re.compile(r"[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+")  # and a bracket before it
+ACCOUNT = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_LED = {a: "|".join(n[1:] for n in TITLES + FIRST_NAMES if n[0] == a) for a in sorted({n[0] for n in TITLES + FIRST_NAMES})}
+NAME = re.compile(
+    rf"[{''.join(_LED)}](?<!\w[A-Z])(?:{'|'.join(f'(?<={a})(?:{rest})' for a, rest in _LED.items())})"
+    r"\.?\x20[A-ZÀ-Þ][a-zß-ÿ]{1,30}(?:\x20[A-ZÀ-Þ][a-zß-ÿ]{1,30})?(?!\w)")
+BIRTH = re.compile(
+    r"[0-9](?<![0-9./-][0-9])(?:[0-9]?[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:(?<=1)9|(?<=2)0)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])")
 GROUPED = re.compile(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}")
 WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)?")
 LABELERS = ("pattern", "checksum", "shape", "gazetteer", "context", "opposed", "company", "dull", "embedded")
@@ -77,6 +82,10 @@ def _mod_97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def has_digit(text: str) -> bool:
+    return any(d in text for d in "0123456789")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of the fixed patterns in code points, by start, then kind."""
     out, done = [], 0
@@ -87,11 +96,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         if at < m.start():
             out.append((at, 0, m.end()))
             done = m.end()
-    for m in ADDRESS.finditer(text):
+    digits = has_digit(text)
+    for m in ADDRESS.finditer(text) if digits and "." in text else ():
         if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
-    for m in CARD.finditer(text):
-        if m.end() - m.start() >= 14 and 14 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
+    for m in CARD.finditer(text) if digits else ():
+        if m.end() - m.start() >= 14 and 14 <= len(card := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(card):
             out.append((m.start(), 2, m.end()))
     for m in PHONE.finditer(text) if "+" in text else ():
         if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
@@ -104,12 +114,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     more = []
     if "at)" in text or "at]" in text:
         more += [(m.start(), 4, m.end()) for m in HIDDEN.finditer(text)]
-    more += [(m.start(), 6, m.end()) for m in ACCOUNT.finditer(text)]
-    more += [(m.start(), 8, m.end()) for m in BIRTH.finditer(text)]
-    for m in NUMBER.finditer(text):
-        glued = (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_+.-")) or text[m.end() : m.end() + 1].isalnum()
-        if not glued and sum(c.isdigit() for c in m[0]) <= 19:
-            more.append((m.start(), 5, m.end()))
+    if has_digit(text):
+        more += [(m.start(), 6, m.end()) for m in ACCOUNT.finditer(text)]
+        more += [(m.start(), 8, m.end()) for m in BIRTH.finditer(text)]
+        for m in NUMBER.finditer(text):
+            start = m.start() - (text[m.start() - 1 : m.start()] == "(")
+            glued = (start and (text[start - 1].isalnum() or text[start - 1] in "_+.-")) or text[m.end() : m.end() + 1].isalnum()
+            if not glued and sum(c.isdigit() for c in m[0]) <= 19:
+                more.append((start, 5, m.end()))
     more += [(m.start(), 7, m.end()) for m in NAME.finditer(text)]
     out, last = [], -1
     fixed = iter([*sorted(base), (len(text) + 1, 0, len(text) + 1)])

@@ -112,3 +112,26 @@ def test_label_model_finds_the_reliable_voters():
     assert (np.abs(hit - right) < 0.08).all() and (np.diff(hit) < 0.02).all()
     known = {tuple(p): q for p, q in zip(patterns.tolist(), probability)}
     assert np.mean([(known[tuple(v)] > 0.5) == t for v, t in zip(votes.tolist(), truth)]) > 0.93
+
+
+def test_scans_begin_with_a_character_and_find_what_the_plain_patterns_do():
+    """A pattern that begins with a look back is tried at every place of a text; these are not, and find the same."""
+    names = "|".join(personal.TITLES + personal.FIRST_NAMES)
+    forms = {
+        "ADDRESS": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
+        "ACCOUNT": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        "NAME": rf"(?<!\w)(?:{names})\.?\x20[A-ZÀ-Þ][a-zß-ÿ]{{1,30}}(?:\x20[A-ZÀ-Þ][a-zß-ÿ]{{1,30}})?(?!\w)",
+        "BIRTH": r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])",
+    }
+    rng = random.Random(9)
+    pieces = ["1", "19", "20", "2", "12", "/", "-", ".", " ", "1975-11-02", "12/03/1980", "DE89", "3704", "A", "Dr", "Dr.", "Don", "Dona", "Anna", " Keller", " Ábc", "é", "_", "x", "٣"]
+    texts = ["".join(rng.choices(pieces[: rng.choice([9, 13, len(pieces)])], k=rng.randint(0, 25))) for _ in range(20_000)]
+    for name, form in forms.items():
+        scan = getattr(personal, name)
+        assert not scan.pattern.startswith("(?")
+        assert all([m.span() for m in scan.finditer(t)] == [m.span() for m in re.finditer(form, t)] for t in texts), name
+
+
+def test_a_number_takes_the_bracket_before_it():
+    for text, start in (("(415) 555-0134", 0), ("a (415) 555-0134", 2), ("((415) 555-0134", 1), ("415 555 0134", 0)):
+        assert [s[:2] for s in personal.candidates(text, [])] == [(start, KINDS.index("number"))]
